@@ -77,7 +77,7 @@ def weekly_grid(purchases: DataFrame) -> DataFrame:
     """The grid as rows: week, week_start, role (train / validation)."""
     grid = week_grid(purchases)
     one = purchases.sparkSession.range(1)
-    weeks = one.select(F.explode(F.sequence(F.lit(0), F.lit(grid.train_weeks))).cast("bigint").alias("week"))
+    weeks = one.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid.train_weeks).cast("bigint"))).alias("week"))
     return weeks.select("week", grid.start_of(F.col("week")).alias("week_start"),
                         F.when(F.col("week") < grid.train_weeks, "train").otherwise("validation").alias("role"))
 
