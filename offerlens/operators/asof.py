@@ -50,19 +50,21 @@ def asof_measures(queries: DataFrame, events: DataFrame, keys: list[str], measur
     payload = [c for c in queries.columns if c not in keys]
     asked = queries.select(*keys, micros(query_time).alias("_us"), F.struct(*payload).alias("_query")).select("*", bucket)
 
-    # Totals of whole buckets, with the queried buckets present even where they hold no event.
-    marks = asked.select(*keys, "_bucket").distinct().select(
-        *keys, "_bucket", *[F.lit(None).cast(types[n]).alias(n) for n in names])
-    totals = (folded.select(*keys, "_bucket", *names).unionByName(marks)
-              .groupBy(*keys, "_bucket").agg(*[measures[n].fold(F.col(n)).alias(n) for n in names]))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "_bucket", *[measures[n].fold(F.col(n)).over(earlier).alias(f"_c_{n}")
-                                                for n in names])
-
-    # The query's own bucket, instant by instant.
+    # Events and queries share one exchange by key and bucket: both readers below ask for the same columns of it, so
+    # Spark runs it once.
     query_type = dict(asked.dtypes)["_query"]
     rows = folded.select(*keys, "_bucket", "_us", F.lit(None).cast(query_type).alias("_query"), *names).unionByName(
         asked.select(*keys, "_bucket", "_us", "_query", *[F.lit(None).cast(types[n]).alias(n) for n in names]))
+    rows = rows.repartition(*[F.col(k) for k in keys], F.col("_bucket"))
+
+    # Totals of whole buckets, queried buckets without events included; then a running total over a key's buckets.
+    totals = rows.groupBy(*keys, "_bucket").agg(
+        *[measures[n].fold(F.col(n)).alias(n) for n in names], F.max("_us").alias("_seen"), F.count("_query").alias("_asked"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, "_bucket", "_asked", *[
+        measures[n].fold(F.col(n)).over(earlier).alias(f"_c_{n}") for n in names]).filter("_asked > 0").drop("_asked")
+
+    # The query's own bucket, instant by instant.
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
     walked = rows.select(*keys, "_bucket", "_query", *[measures[n].fold(F.col(n)).over(inside).alias(f"_w_{n}")
                                                        for n in names]).filter(F.col("_query").isNotNull())

@@ -12,6 +12,7 @@ from offerlens.functions import exprs as X
 from offerlens.functions.constants import TOP_K
 from offerlens.operators import split as S
 from offerlens.operators.numbering import middle_of_counts
+from offerlens.session import materialized
 
 def row_count() -> Column:
     return F.count(F.lit(1))
@@ -102,7 +103,7 @@ def _named(parts: dict[str, DataFrame], scope: tuple[str, ...]) -> Context:
 
 def cutoff_context(purchases: DataFrame, visits: DataFrame, items: DataFrame, cutoff_us: int) -> Context:
     """All aggregates strictly before one cut-off."""
-    base = pair_history(S.history_before(purchases, cutoff_us), S.history_before(visits, cutoff_us))
+    base = materialized(pair_history(S.history_before(purchases, cutoff_us), S.history_before(visits, cutoff_us)))
     return _named(_roll_up(base, items, []), ())
 
 
@@ -119,7 +120,7 @@ def weekly_context(purchases: DataFrame, visits: DataFrame, items: DataFrame, gr
     def weekly(facts: DataFrame) -> DataFrame:
         return S.history_before(facts, cut).withColumn("week", grid.week_of(F.col("ts")))
 
-    parts = _roll_up(pair_history(weekly(purchases), weekly(visits), ["week"]), items, ["week"])
+    parts = _roll_up(materialized(pair_history(weekly(purchases), weekly(visits), ["week"])), items, ["week"])
     out = {}
     for name, part in parts.items():
         keys = [c for c in ("user_id", "genre_name", "item_id") if c in part.columns]

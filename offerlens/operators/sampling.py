@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from offerlens.functions.constants import (
 from offerlens.operators import split as S
 from offerlens.operators.numbering import column_medians, numbered
 from offerlens.operators.topk import first_n
-from offerlens.session import cut_lineage
+from offerlens.session import materialized
 
 
 def weekly_pairs(users: DataFrame, purchases: DataFrame, items: DataFrame, grid: S.WeekGrid,
@@ -55,6 +53,10 @@ def sampling_index(items: DataFrame) -> DataFrame:
                               "price_band": X.price_band(log_price)})
 
 
+# The attributes two items are compared by.
+DISTANCE_COLUMNS = ["log_discount_price", "price_rate", "valid_period"]
+
+
 def item_distance(a: str, b: str) -> Column:
     """How far two items are apart in price, rate and validity; unknown values count as 0."""
     def value(side: str, c: str) -> Column:
@@ -65,36 +67,26 @@ def item_distance(a: str, b: str) -> Column:
             + 0.25 * F.abs(value(a, "valid_period") - value(b, "valid_period")) / 365.0)
 
 
-def _day_lists(meta: DataFrame, level: str, key: Column, days: tuple[int, int]) -> DataFrame:
-    """(level, key, day, position, item): the items of a class on display on a day, numbered."""
-    first, last = F.lit(days[0]).cast("bigint"), F.lit(days[1]).cast("bigint")
-    low = F.greatest(F.coalesce(X.day_number("disp_from"), first), first)
-    high = F.least(F.coalesce(X.day_number("disp_end"), last), last)
-    shown = meta.select("item_id", key.cast("string").alias("_key"), low.alias("_lo"), high.alias("_hi")).filter(
-        "_lo <= _hi").select("item_id", "_key", F.explode(F.sequence("_lo", "_hi")).alias("_day"))
-    return numbered(shown, "_pos", "item_id", ["_key", "_day"], "_size").withColumn("_level", F.lit(level))
+LEVELS = (SOURCE_GENRE, SOURCE_BAND, SOURCE_RANDOM)
 
 
-def _drawn(events: DataFrame, lists: DataFrame, key: Column, cap: int, seed: int) -> DataFrame:
-    """Up to `cap` items per event from the list of its class and day: all of a shorter list, else one per stratum."""
-    sizes = lists.select("_key", "_day", "_size").distinct()
-    asked = events.withColumn("_key", key.cast("string")).join(sizes, ["_key", "_day"])
-    strata = F.least(F.lit(cap).cast("bigint"), F.col("_size"))
-    asked = asked.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), strata - 1)))
-    place = X.stratum_position(F.col("_j"), strata, F.col("_size"), X.draw([F.col("positive_event_id"), F.col("_j")], seed))
-    asked = asked.withColumn("_pos", place).drop("_j", "_size")
-    return asked.join(lists.select("_key", "_day", "_pos", "item_id"), ["_key", "_day", "_pos"]).drop("_key", "_pos")
+def _classes(genre: str, band: str) -> Column:
+    """The classes a row belongs to, nearest first: its genre, its price band, everything."""
+    keys = (F.col(genre), F.col(band).cast("string"), F.lit("all"))
+    return F.array(*[F.struct(F.lit(i).alias("level"), k.alias("key")) for i, k in enumerate(keys)])
 
 
-def _allowed(drawn: DataFrame, meta: DataFrame, blocked: list[DataFrame]) -> DataFrame:
-    """Drawn items on display at the very event time and in none of the blocked pair sets, with their distance."""
-    attributes = meta.select("item_id", "disp_from", "disp_end", *[
-        F.col(c).alias(f"c_{c}") for c in ("log_discount_price", "price_rate", "valid_period")])
-    rows = drawn.join(attributes, "item_id").filter(
-        S.available_at(F.col("ts"), F.col("disp_from"), F.col("disp_end"))).drop("disp_from", "disp_end")
-    for pairs in blocked:
-        rows = rows.join(pairs, pairs.columns, "left_anti")
-    return rows
+def day_lists(items: DataFrame, first_day: int, last_day: int) -> DataFrame:
+    """(level, key, day, position, size, item columns): the items of a class on display on a day, numbered."""
+    first, last = F.lit(first_day).cast("bigint"), F.lit(last_day).cast("bigint")
+    low = F.greatest(F.coalesce(X.day_number("disp_from"), first), first)
+    high = F.least(F.coalesce(X.day_number("disp_end"), last), last)
+    shown = items.select(
+        "item_id", "disp_from", "disp_end", *[F.col(c).cast("double").alias(f"c_{c}") for c in DISTANCE_COLUMNS],
+        F.explode(_classes("genre_name", "price_band")).alias("_class"), low.alias("_lo"), high.alias("_hi"))
+    shown = shown.filter("_lo <= _hi").select("*", F.explode(F.sequence("_lo", "_hi")).alias("_day")).select(
+        "_class.level", "_class.key", "_day", "item_id", "disp_from", "disp_end", *[f"c_{c}" for c in DISTANCE_COLUMNS])
+    return numbered(shown, "_pos", "item_id", ["level", "key", "_day"], "_size")
 
 
 def hard_negatives(positives: DataFrame, items: DataFrame, bought: DataFrame, n: int = NEGATIVES_PER_EVENT,
@@ -104,63 +96,65 @@ def hard_negatives(positives: DataFrame, items: DataFrame, bought: DataFrame, n:
 
     - `positives`: positive_event_id, user_id, item_id, ts; `items`: the result of sampling_index;
       `bought`: user_id, item_id of all time, so that no negative was ever bought by the user;
-      `used`: further pairs to avoid; `need`: (positive_event_id, _need) where fewer than n are wanted.
+      `used`: further pairs to avoid; `need`: (positive_event_id, need) where fewer than n are wanted.
 
     Nearest items of the same genre come first, then nearest of the same price band, then random ones, always among
-    the items on display at the event.  Where a class shows more than `cap` items on a day, `cap` of them are drawn
-    before distances are compared.  Events that the draws leave short look through their whole day list.
+    the items on display at the event.  A level is opened only by events the earlier levels left short, and then all
+    their items are taken; ranking every candidate once by (level, distance) therefore gives the same choice.  Where a
+    class shows more than `cap` items on a day, `cap` of them are drawn before distances are compared; events left
+    short by such a draw look through their whole day list.
     """
-    columns = ["log_discount_price", "price_rate", "valid_period"]
-    own = items.select("item_id", "genre_name", "price_band", *[F.col(c).alias(f"p_{c}") for c in columns])
-    events = positives.select("positive_event_id", "user_id", F.col("item_id").alias("reference_item_id"), "ts").join(
-        own.withColumnRenamed("item_id", "reference_item_id"), "reference_item_id", "left").withColumn(
-        "_day", X.day_number("ts"))
-    events = events.join(need, "positive_event_id") if need is not None else events.withColumn("_need", F.lit(n))
     span = positives.agg(F.min(X.day_number("ts")).alias("lo"), F.max(X.day_number("ts")).alias("hi")).first()
-    if span["lo"] is None:
-        return events.select("user_id", F.col("reference_item_id").alias("item_id"), F.lit(0).alias("label"),
-                             "positive_event_id", "reference_item_id", F.lit("").alias("negative_source"))
-    days = (span["lo"], span["hi"])
-    lists = {
-        SOURCE_GENRE: (_day_lists(items, SOURCE_GENRE, F.col("genre_name"), days), F.col("genre_name")),
-        SOURCE_BAND: (_day_lists(items, SOURCE_BAND, F.col("price_band"), days), F.col("price_band")),
-        SOURCE_RANDOM: (_day_lists(items, SOURCE_RANDOM, F.lit("all"), days), F.lit("all")),
-    }
-    out_columns = ["positive_event_id", "user_id", "item_id", "reference_item_id", "negative_source"]
-    banned = [bought.select("user_id", "item_id")] + ([used.select("user_id", "item_id")] if used is not None else [])
-
-    def take(candidates: DataFrame, order: list[Column], source: str) -> DataFrame:
-        kept = first_n(candidates, ["positive_event_id"], order, n).filter(F.col("rank") <= F.col("_need"))
-        return kept.select(*out_columns[:4], F.lit(source).alias("negative_source"))
-
-    def still_short(so_far: list[DataFrame]) -> DataFrame:
-        have = reduce(DataFrame.unionByName, so_far).groupBy("positive_event_id").agg(F.count(F.lit(1)).alias("_have"))
-        return events.join(have, "positive_event_id", "left").withColumn(
-            "_need", F.col("_need") - F.coalesce("_have", F.lit(0))).filter("_need > 0").drop("_have")
-
-    chosen: list[DataFrame] = []
-    for step, source in enumerate((SOURCE_GENRE, SOURCE_BAND, SOURCE_RANDOM)):
-        day_list, key = lists[source]
-        open_events = still_short(chosen) if chosen else events
-        taken = [c.select("positive_event_id", "item_id") for c in chosen]
-        candidates = _allowed(_drawn(open_events, day_list, key, cap, seed + step), items, banned + taken)
-        if source == SOURCE_RANDOM:
-            item = X.as_number(F.col("item_id"), dict(items.dtypes)["item_id"])
-            order = [X.draw([F.col("positive_event_id"), item], seed + 7), F.col("item_id")]
-        else:
-            order = [item_distance("c_", "p_"), F.col("item_id")]
-        chosen.append(take(candidates, order, source))
+    first_day, last_day = (span["lo"], span["hi"]) if span["lo"] is not None else (0, 0)
+    lists = materialized(day_lists(items, first_day, last_day))
+    own = items.select(F.col("item_id").alias("reference_item_id"), "genre_name", "price_band",
+                       *[F.col(c).cast("double").alias(f"p_{c}") for c in DISTANCE_COLUMNS])
+    events = positives.select("positive_event_id", "user_id", F.col("item_id").alias("reference_item_id"), "ts",
+                              X.day_number("ts").alias("_day")).join(own, "reference_item_id", "left")
+    events = events.join(need, "positive_event_id") if need is not None else events.withColumn("need", F.lit(n))
+    blocked = bought.select("user_id", "item_id")
+    blocked = blocked if used is None else blocked.unionByName(used.select("user_id", "item_id"))
+
+    # Draw from the three lists of an event at once.
+    sizes = lists.groupBy("level", "key", "_day").agg(F.max("_size").alias("_size"))
+    strata = F.least(F.lit(cap).cast("bigint"), F.col("_size"))
+    asked = events.withColumn("_class", F.explode(_classes("genre_name", "price_band"))).select(
+        "*", "_class.level", "_class.key").drop("_class", "genre_name", "price_band")
+    asked = asked.join(sizes, ["level", "key", "_day"]).withColumn(
+        "_j", F.explode(F.sequence(F.lit(0).cast("bigint"), strata - 1)))
+    drawn = X.draw([F.col("positive_event_id"), F.col("_j"), F.col("level")], seed)
+    place = X.stratum_position(F.col("_j"), strata, F.col("_size"), drawn)
+    asked = asked.withColumn("_pos", place).drop("_j", "_size")
+    candidates = asked.join(lists.drop("_size"), ["level", "key", "_day", "_pos"])
+    chosen = _nearest(candidates, blocked, dict(items.dtypes)["item_id"], n, seed)
 
     # Only lists longer than the cap can have hidden an eligible item from a short event.
-    day_list = lists[SOURCE_RANDOM][0]
-    long_days = day_list.filter(F.col("_size") > cap).select("_day").distinct()
-    short = still_short(chosen).join(long_days, "_day", "left_semi")
-    whole = short.join(day_list.select("_day", "item_id"), "_day")
-    item = X.as_number(F.col("item_id"), dict(items.dtypes)["item_id"])
-    rest = _allowed(whole, items, banned + [c.select("positive_event_id", "item_id") for c in chosen])
-    chosen.append(take(rest, [X.draw([F.col("positive_event_id"), item], seed + 7), F.col("item_id")], SOURCE_RANDOM))
-    return reduce(DataFrame.unionByName, chosen).select(
-        "user_id", "item_id", F.lit(0).alias("label"), "positive_event_id", "reference_item_id", "negative_source")
+    longest = lists.filter(F.col("level") == 2).agg(F.max("_size").alias("n")).first()["n"]
+    if longest is not None and longest > cap:
+        chosen = materialized(chosen)
+        have = chosen.groupBy("positive_event_id").agg(F.count(F.lit(1)).alias("_have"))
+        short = events.join(have, "positive_event_id", "left").withColumn(
+            "need", F.col("need") - F.coalesce("_have", F.lit(0))).filter("need > 0").drop("_have")
+        everything = lists.filter((F.col("level") == 2) & (F.col("_size") > cap)).drop("_size", "_pos")
+        rest = short.drop("genre_name", "price_band").join(everything, "_day").join(
+            chosen.select("positive_event_id", "item_id"), ["positive_event_id", "item_id"], "left_anti")
+        chosen = chosen.unionByName(_nearest(rest, blocked, dict(items.dtypes)["item_id"], n, seed))
+    return chosen
+
+
+def _nearest(candidates: DataFrame, blocked: DataFrame, item_type: str, n: int, seed: int) -> DataFrame:
+    """The wanted number of candidates per event: allowed ones only, lowest level first, then nearest (level 2: random)."""
+    allowed = candidates.filter(S.available_at(F.col("ts"), F.col("disp_from"), F.col("disp_end"))).join(
+        blocked, ["user_id", "item_id"], "left_anti")
+    chance = X.draw([F.col("positive_event_id"), X.as_number(F.col("item_id"), item_type)], seed + 7)
+    place = F.when(F.col("level") < 2, item_distance("c_", "p_")).otherwise(chance.cast("double"))
+    best = allowed.select("positive_event_id", "user_id", "reference_item_id", "need", "item_id",
+                          F.struct("level", place.alias("place")).alias("o"))
+    best = best.groupBy("positive_event_id", "user_id", "reference_item_id", "need", "item_id").agg(F.min("o").alias("o"))
+    kept = first_n(best, ["positive_event_id"], [F.col("o"), F.col("item_id")], n).filter(F.col("rank") <= F.col("need"))
+    source = F.element_at(F.array(*[F.lit(s) for s in LEVELS]), F.col("o.level") + 1)
+    return kept.select("user_id", "item_id", F.lit(0).alias("label"), "positive_event_id", "reference_item_id",
+                       source.alias("negative_source"))
 
 
 def exclusive_hard_negatives(positives: DataFrame, items: DataFrame, bought: DataFrame, n: int = NEGATIVES_PER_EVENT,
@@ -168,7 +162,7 @@ def exclusive_hard_negatives(positives: DataFrame, items: DataFrame, bought: Dat
     """hard_negatives where an item serves a user only once.
 
     Each round samples for the events still short, keeps a pair for the earliest event that drew it and blocks it in
-    later rounds.  Lineage is cut between rounds where a shared checkpoint folder is configured.
+    later rounds.  Each round is materialized, so that the next one does not repeat it.
     """
     out = None
     for turn in range(rounds):
@@ -176,13 +170,13 @@ def exclusive_hard_negatives(positives: DataFrame, items: DataFrame, bought: Dat
         if out is not None:
             have = out.groupBy("positive_event_id").agg(F.count(F.lit(1)).alias("_have"))
             need = positives.select("positive_event_id").join(have, "positive_event_id", "left").select(
-                "positive_event_id", (F.lit(n) - F.coalesce("_have", F.lit(0))).alias("_need")).filter("_need > 0")
+                "positive_event_id", (F.lit(n) - F.coalesce("_have", F.lit(0))).alias("need")).filter("need > 0")
         drawn = hard_negatives(positives, items, bought, n, cap, seed + 20 * turn, used=out, need=need)
         first = drawn.groupBy("user_id", "item_id").agg(F.min(F.struct(
             "positive_event_id", "reference_item_id", "negative_source")).alias("f"))
         kept = first.select("user_id", "item_id", F.lit(0).alias("label"), "f.positive_event_id",
                             "f.reference_item_id", "f.negative_source")
-        out = cut_lineage(kept if out is None else out.unionByName(kept))
+        out = materialized(kept if out is None else out.unionByName(kept))
     return out
 
 

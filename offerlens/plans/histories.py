@@ -102,8 +102,8 @@ def bought_sets(spark, sf):
 
 @query("first_viewed_lists", with_views("fx_visits", """
 select user_id, string_agg(item_id, '|' order by r) as items from (
-  select user_id, item_id, row_number() over (partition by user_id order by at, item_id) as r from (
-    select user_id, item_id, min(ts) as at from fx_visits group by all) v) x
+  select user_id, item_id, row_number() over (partition by user_id order by seen, item_id) as r from (
+    select user_id, item_id, min(ts) as seen from fx_visits group by all) v) x
 where r <= 10 group by user_id"""))
 def first_viewed_lists(spark, sf):
     seen = W.visits_view(spark, sf).groupBy("user_id", "item_id").agg(F.min("ts").alias("at"))
@@ -175,10 +175,10 @@ def weekly_item_snapshots(spark, sf):
 
 
 @query("weekly_genre_snapshots_order_lines", with_views("fx_lines fx_items_all", """
-select week, genre_name, cast(coalesce(sum(n) over (partition by genre_name order by week rows between unbounded preceding
+select * from (select week, genre_name, cast(coalesce(sum(n) over (partition by genre_name order by week rows between unbounded preceding
   and 1 preceding), 0) as bigint) as genre_purchases from (
   select (epoch_us(ts) - (select epoch_us(first_start) from g)) // 604800000000 as week, genre_name, count(*) as n
-  from fx_lines join fx_items_all using (item_id), g where ts < val_start group by all) x qualify week >= 0""",
+  from fx_lines join fx_items_all using (item_id), g where ts < val_start group by all) x) y where week >= 0""",
     """g as (select first_day + interval '1' day * cast(date_diff('day', first_day, val_start) % 7 as int) as first_start, val_start
   from (select cast(date_trunc('day', min(ts)) as timestamp) as first_day,
     cast(date_trunc('day', max(ts)) as timestamp) - interval '6' day as val_start from fx_lines) b)"""))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -39,14 +40,17 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
-def cut_lineage(df):
-    """Write `df` to the shared checkpoint folder and read it back; a no-op where no folder is configured.
+def materialized(df: DataFrame) -> DataFrame:
+    """Compute an intermediate table once for all its readers.
 
-    Used between the steps of iterative jobs, so that a lost executor does not replay every earlier step.
+    With a shared checkpoint folder the table is written there and its lineage cut, so that a lost executor costs
+    nothing upstream.  Without one it is persisted (spilling to disk); lost blocks are then recomputed from lineage.
+    Persisted tables are released by spark.catalog.clearCache() once their readers are done.
     """
     spark = df.sparkSession
     folder = checkpoint_dir(spark)
     if folder is None:
-        return df
-    spark.sparkContext.setCheckpointDir(folder)
+        return df.persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
