@@ -177,7 +177,7 @@ def weekly_item_snapshots(spark, sf):
 @query("weekly_genre_snapshots_order_lines", with_views("fx_lines fx_items_all", """
 select * from (select week, genre_name, cast(coalesce(sum(n) over (partition by genre_name order by week rows between unbounded preceding
   and 1 preceding), 0) as bigint) as genre_purchases from (
-  select (epoch_us(ts) - (select epoch_us(first_start) from g)) // 604800000000 as week, genre_name, count(*) as n
+  select cast(floor((epoch_us(ts) - epoch_us(first_start)) / 604800000000.0) as bigint) as week, genre_name, count(*) as n
   from fx_lines join fx_items_all using (item_id), g where ts < val_start group by all) x) y where week >= 0""",
     """g as (select first_day + interval '1' day * cast(date_diff('day', first_day, val_start) % 7 as int) as first_start, val_start
   from (select cast(date_trunc('day', min(ts)) as timestamp) as first_day,
