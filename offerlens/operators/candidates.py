@@ -47,9 +47,8 @@ def shortlist(owners: DataFrame, owner_genres: DataFrame, items: DataFrame, owne
     people = owners.select(*owner, F.coalesce("pref_name", F.lit("")).alias("r"),
                            F.floor(F.coalesce("log_price", F.lit(0.0)) / width).cast("bigint").alias("band"))
     # Bands in use: at most a few dozen, since log prices span a short range.
-    spans = people.agg(F.min("band").alias("lo"), F.max("band").alias("hi"))
-    low, high = spans.select("lo").scalar(), spans.select("hi").scalar()
-    banded = cells.withColumn("band", F.explode(F.sequence(low, high)))
+    bands = people.agg(F.array_sort(F.collect_set("band")).alias("bands")).scalar()
+    banded = cells.withColumn("band", F.explode(bands))
     left = F.col("band") * F.lit(width)
     right = left + F.lit(width)
     far = F.greatest(F.abs(F.col("log_price") - left), F.abs(F.col("log_price") - right))

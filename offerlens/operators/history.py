@@ -71,6 +71,8 @@ def _roll_up(base: DataFrame, items: DataFrame, extra: list[str]) -> dict[str, D
     by_genre = rows.groupBy(*extra, "user_id", "genre_name").agg(
         F.sum("p").alias("p"), F.sum("v").alias("v"), F.max("last_ts").alias("last_ts"),
         F.sum(F.col("price") * F.col("p")).alias("price_sum"), F.sum(priced).alias("price_n"))
+    # Three of the five frames are read off this table, each of them more than once.
+    by_genre = materialized(by_genre)
     return {
         "user": by_genre.groupBy(*extra, "user_id").agg(
             F.sum("p").alias("p"), F.sum("v").alias("v"), F.max("last_ts").alias("last_ts"),

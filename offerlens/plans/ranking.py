@@ -18,6 +18,7 @@ from offerlens.plans.histories import CONTEXT, CUT, validation_context
 from offerlens.plans.registry import query, tidy
 from offerlens.plans.sql import (
     POPULARITY_SQL, RULE_SQL, codes, context, draw, feature_list, pair_features, stratum, with_views)
+from offerlens.session import materialized
 from offerlens.sources import sinks
 from offerlens.sources import views as W
 
@@ -208,7 +209,7 @@ def weekly_frame(spark, sf, include_validation: bool = False):
     """The labelled weekly training frame with all features, every week against its own history."""
     w = W.world(spark, sf)
     grid = S.week_grid(w.purchases)
-    pairs = N.weekly_pairs(w.users, w.purchases, w.items, grid, include_validation=include_validation)
+    pairs = materialized(N.weekly_pairs(w.users, w.purchases, w.items, grid, include_validation=include_validation))
     ctx = H.weekly_context_of(pairs, w.purchases, w.visits, w.all_items, w.all_items, grid, include_validation)
     table = E.entity_codes(w.users, w.all_items)
     frame = FE.pair_features(pairs.withColumn("cutoff", grid.start_of(F.col("week"))), w.users, w.all_items, ctx, table)

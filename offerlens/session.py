@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +19,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # Files may come in the host's older encodings, which Spark 4 reads only on request.
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return spark
 
 
@@ -35,22 +40,34 @@ def local_session(app: str = "offerlens", cores: str = "8", partitions: int = 8,
     return configure(spark)
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder named by the cluster for cutting lineage, or None where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder for intermediate tables: the cluster's spark.checkpoint.dir; in local mode, where it is unset, an own
+    temporary folder (one per application); None on a cluster that names no folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return None
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="offerlens-")
+    return _LOCAL_FOLDERS[app]
+
+
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def materialized(df: DataFrame) -> DataFrame:
     """Compute an intermediate table once for all its readers.
 
-    With a shared checkpoint folder the table is written there and its lineage cut, so that a lost executor costs
-    nothing upstream.  Without one it is persisted (spilling to disk); lost blocks are then recomputed from lineage.
-    Persisted tables are released by spark.catalog.clearCache() once their readers are done.
+    The table is written to the shared folder and read back: lineage ends there, so a lost executor costs nothing
+    upstream, and readers see its real size and only the columns they need.  On a cluster without such a folder it is
+    persisted (spilling to disk) and lost blocks are recomputed from lineage.
     """
     spark = df.sparkSession
-    folder = checkpoint_dir(spark)
+    folder = shared_folder(spark)
     if folder is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK_DESER)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{folder}/offerlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
