@@ -24,9 +24,10 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(app: str = "offerlens", cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(app: str = "offerlens", cores: str = "8", partitions: int = 8, memory: str = "8g",
+                  folder: str | None = None) -> SparkSession:
     """A session for tests and the benchmark; on a cluster the caller brings its own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -34,8 +35,10 @@ def local_session(app: str = "offerlens", cores: str = "8", partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
     )
+    if folder is not None:
+        builder = builder.config("spark.checkpoint.dir", folder)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
 
