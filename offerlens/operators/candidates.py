@@ -12,6 +12,7 @@ from offerlens.functions.constants import (
 from offerlens.operators.numbering import numbered
 from offerlens.operators.profile import sample_users
 from offerlens.operators.topk import first_n, top_k
+from offerlens.session import materialized
 
 ANY = "\u0000any"
 BAND_WIDTH = 0.25
@@ -39,16 +40,10 @@ def shortlist(owners: DataFrame, owner_genres: DataFrame, items: DataFrame, owne
     base = items.select("item_id", F.coalesce("genre_name", F.lit("")).alias("g"),
                         F.coalesce("pref_name", F.lit("")).alias("r"), "base", "log_price")
     base = first_n(base, ["g", "r", "base", "log_price"], [F.col("item_id")], k).drop("rank")
-    cells = base.select("item_id", "base", "log_price", F.explode(F.array(
-        F.struct("g", "r"), F.struct("g", F.lit(ANY).alias("r")), F.struct(F.lit(ANY).alias("g"), "r"),
-        F.struct(F.lit(ANY).alias("g"), F.lit(ANY).alias("r")))).alias("cell")).select(
-        "item_id", "base", "log_price", "cell.g", "cell.r")
-
     people = owners.select(*owner, F.coalesce("pref_name", F.lit("")).alias("r"),
                            F.floor(F.coalesce("log_price", F.lit(0.0)) / width).cast("bigint").alias("band"))
     # Bands in use: at most a few dozen, since log prices span a short range.
     bands = people.agg(F.array_sort(F.collect_set("band")).alias("bands")).scalar()
-    banded = cells.withColumn("band", F.explode(bands))
     left = F.col("band") * F.lit(width)
     right = left + F.lit(width)
     far = F.greatest(F.abs(F.col("log_price") - left), F.abs(F.col("log_price") - right))
@@ -56,13 +51,16 @@ def shortlist(owners: DataFrame, owner_genres: DataFrame, items: DataFrame, owne
         F.col("log_price") > right, F.col("log_price") - right).otherwise(0.0)
     if not w:
         far = near = F.lit(0.0)
-    banded = banded.select("g", "r", "band", "item_id", "base", "log_price", (F.col("base") - w * far).alias("worst"),
-                           (F.col("base") - w * near).alias("best"))
+    banded = base.withColumn("band", F.explode(bands)).withColumns(
+        {"worst": F.col("base") - w * far, "best": F.col("base") - w * near})
+    # What falls out of its own class falls out of every wider cell, so the wider cells see the survivors only.
+    narrow = materialized(_survivors(banded, k))
+    wider = F.array(F.struct("g", F.lit(ANY).alias("r")), F.struct(F.lit(ANY).alias("g"), "r"),
+                    F.struct(F.lit(ANY).alias("g"), F.lit(ANY).alias("r")))
+    wide = _survivors(narrow.withColumn("_cell", F.explode(wider)).withColumns(
+        {"g": F.col("_cell.g"), "r": F.col("_cell.r")}).drop("_cell"), k)
     cell = ["g", "r", "band"]
-    kth = top_k(banded.select(*cell, "item_id", "worst"), cell, F.col("worst"), k, [F.col("item_id")]).groupBy(*cell).agg(
-        F.min("worst").alias("bar"), F.count(F.lit(1)).alias("n"))
-    kept = banded.join(kth, cell).filter((F.col("n") < k) | (F.col("best") >= F.col("bar") - SLACK))
-    kept = first_n(kept, [*cell, "base", "log_price"], [F.col("item_id")], k).select(*cell, "item_id")
+    kept = narrow.select(*cell, "item_id").unionByName(wide.select(*cell, "item_id"))
 
     known = owner_genres.filter(F.col("genre_name").isNotNull()).select(*owner, F.col("genre_name").alias("g")).distinct()
     by_genre = people.join(known, owner).select(*owner, "g", "r", "band")
@@ -76,6 +74,15 @@ def shortlist(owners: DataFrame, owner_genres: DataFrame, items: DataFrame, owne
     return wants.join(kept, [*cell, "salt"]).select(*owner, "item_id").distinct()
 
 
+def _survivors(banded: DataFrame, k: int) -> DataFrame:
+    """Rows (g, r, band, item_id, base, log_price, worst, best) not beaten by k others of their cell all over the band."""
+    cell = ["g", "r", "band"]
+    kth = top_k(banded.select(*cell, "item_id", "worst"), cell, F.col("worst"), k, [F.col("item_id")]).groupBy(*cell).agg(
+        F.min("worst").alias("_bar"), F.count(F.lit(1)).alias("_n"))
+    kept = banded.join(kth, cell).filter((F.col("_n") < k) | (F.col("best") >= F.col("_bar") - SLACK))
+    return first_n(kept, [*cell, "base", "log_price"], [F.col("item_id")], k).drop("rank", "_bar", "_n")
+
+
 def pool_pairs(users: DataFrame, pool: DataFrame, block_rows: int = 500, salts: int = 16) -> DataFrame:
     """Every user with every item of a candidate pool (the pool is what a week or a request offers).
 

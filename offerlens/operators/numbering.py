@@ -33,26 +33,36 @@ def numbered(df: DataFrame, name: str, order: str, group: list[str] | None = Non
     return out.withColumnRenamed("_size", with_size) if with_size else out.drop("_size")
 
 
-def times_at_positions(df: DataFrame, ts: str, positions: list[int]) -> list[int]:
+def day_histogram(df: DataFrame, ts: str) -> list[tuple[int, int, int, int]]:
+    """(day, rows, first instant, last instant) in day order: the calendar of a table, one row per day."""
+    rows = df.filter(F.col(ts).isNotNull()).groupBy(day_number(ts).alias("d")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(micros(ts)).alias("lo"), F.max(micros(ts)).alias("hi")).collect()
+    return sorted((r["d"], r["n"], r["lo"], r["hi"]) for r in rows)
+
+
+def times_at_positions(df: DataFrame, ts: str, positions: list[int],
+                       days: list[tuple[int, int, int, int]] | None = None) -> list[int]:
     """The event times (epoch micros) at 0-based positions of the time-sorted table.
 
     Day counts locate the day of each position; only those days are then counted by instant.  The driver receives one
-    number per day and the answers.
+    row per day and the answers.
     """
-    days = sorted((r["d"], r["n"]) for r in df.groupBy(day_number(ts).alias("d")).agg(
-        F.count(F.lit(1)).alias("n")).filter("d is not null").collect())
-    out = []
+    days = day_histogram(df, ts) if days is None else days
+    wanted = []
     for position in positions:
         seen = 0
-        for day, n in days:
+        for day, n, *_ in days:
             if position < seen + n:
                 break
             seen += n
-        instants = df.filter(day_number(ts) == day).groupBy(micros(ts).alias("us")).agg(F.count(F.lit(1)).alias("n"))
-        running = F.sum("n").over(Window.orderBy("us").rowsBetween(Window.unboundedPreceding, 0))
-        hit = instants.select("us", running.alias("upto")).filter(F.col("upto") > position - seen)
-        out.append(hit.agg(F.min("us").alias("us")).first()["us"])
-    return out
+        wanted.append((day, position - seen))
+    instants = df.filter(day_number(ts).isin(sorted({d for d, _ in wanted}))).groupBy(
+        day_number(ts).alias("d"), micros(ts).alias("us")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("d").orderBy("us").rowsBetween(Window.unboundedPreceding, 0))
+    row = instants.select("d", "us", upto.alias("upto")).agg(*[
+        F.min(F.when((F.col("d") == d) & (F.col("upto") > k), F.col("us"))).alias(f"p{i}")
+        for i, (d, k) in enumerate(wanted)]).first()
+    return list(row)
 
 
 def grouped_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -64,10 +74,10 @@ def grouped_median(df: DataFrame, keys: list[str], value: str, name: str) -> Dat
     return middle_of_counts(counts, keys, value, name)
 
 
-def middle_of_counts(counts: DataFrame, keys: list[str], value: str, name: str, below: Column | None = None,
-            total: Column | None = None) -> DataFrame:
+def middle_of_counts(counts: DataFrame, keys: list[str], value: str, name: str, total: Column | None = None) -> DataFrame:
+    """The median of (keys, value, _n) counts; `total` gives the rows per key where the counts stop early."""
     by_value = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("_n").over(by_value) + (below if below is not None else F.lit(0))
+    upto = F.sum("_n").over(by_value)
     size = total if total is not None else F.sum("_n").over(Window.partitionBy(*keys))
     placed = counts.select(*keys, value, "_n", upto.alias("_upto"), size.alias("_size"))
     lower_rank = F.floor((F.col("_size") + 1) / 2)
@@ -84,7 +94,7 @@ def column_medians(df: DataFrame, columns: list[str], accuracy: int = 10_000) ->
     """Exact medians of many numeric columns of one table.
 
     An approximate pass brackets each median within a sliver of the ranks; a second pass counts the rows below the
-    bracket and ranks only the values inside it.  The bracket is widened where it missed.  The driver receives a few
+    bracket and the values inside it.  The bracket is widened where it missed.  The driver receives a few
     numbers per column.
     """
     out: dict[str, float | None] = {}
@@ -103,18 +113,17 @@ def column_medians(df: DataFrame, columns: list[str], accuracy: int = 10_000) ->
         todo = []
         if not live:
             break
-        below = df.agg(*[F.count(F.when(F.col(c).cast("double") < lo, 1)).alias(f"c{i}")
-                         for i, (c, lo, _, _) in enumerate(live)]).first()
-        # One narrow row per column and value inside its bracket; `array` over the columns replaces an unpivot.
+        # One narrow row per column and value: values inside the bracket as they are, all smaller ones as null, so that
+        # the group of nulls counts the rows below the bracket.
         cells = F.array(*[
-            F.when(F.col(c).cast("double").between(lo, hi),
-                   F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v"))) for i, (c, lo, hi, _) in
-            enumerate(live)])
+            F.when(F.col(c).cast("double") <= hi, F.struct(
+                F.lit(i).alias("i"), F.when(F.col(c).cast("double") >= lo, F.col(c).cast("double")).alias("v")))
+            for i, (c, lo, hi, _) in enumerate(live)])
         counts = (df.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x"))
                   .groupBy(F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("_n")))
-        offset = F.element_at(F.array(*[F.lit(below[f"c{i}"]) for i in range(len(live))]), F.col("i") + 1)
+        # Nulls sort first, hence the running count already holds them.
         total = F.element_at(F.array(*[F.lit(n) for _, _, _, n in live]), F.col("i") + 1)
-        found = {r["i"]: r["m"] for r in middle_of_counts(counts, ["i"], "v", "m", offset, total).collect()}
+        found = {r["i"]: r["m"] for r in middle_of_counts(counts, ["i"], "v", "m", total).collect()}
         for i, (c, *_rest) in enumerate(live):
             if found.get(i) is None and margin < 0.5:
                 todo.append(c)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions.constants import DAY_US, WEEK_DAYS
 from offerlens.functions.exprs import as_number, micros, ts_lit
-from offerlens.operators.numbering import times_at_positions
+from offerlens.operators.numbering import day_histogram, times_at_positions
 
 WEEK_US = WEEK_DAYS * DAY_US
 
@@ -131,8 +131,9 @@ def available_events(events: DataFrame, items: DataFrame, ts: str = "ts") -> Dat
 
 @dataclass(frozen=True)
 class SplitBounds:
-    """Start of the tuning part, start of the holdout part and the last event, in epoch microseconds."""
+    """The first event, the starts of the tuning and the holdout part and the last event, in epoch microseconds."""
 
+    first: int
     tuning_start: int
     holdout_start: int
     last: int
@@ -140,15 +141,15 @@ class SplitBounds:
 
 def split_bounds(events: DataFrame, ratio: float = 0.2, ts: str = "ts") -> SplitBounds:
     """Chronological boundaries: the event times at the sorted positions n(1 - ratio) and n(1 - ratio / 2)."""
-    row = events.agg(F.count(ts).alias("n"), F.max(micros(ts)).alias("hi")).first()
-    n = row["n"]
+    days = day_histogram(events, ts)
+    n = sum(rows for _, rows, _, _ in days)
     if n < 3:
         raise ValueError("a three-way split needs at least three events")
     half = ratio / 2
     tuning = min(max(int(n * (1 - half - half)), 1), n - 2)
     holdout = min(max(int(n * (1 - half)), tuning + 1), n - 1)
-    lo, hi = times_at_positions(events, ts, [tuning, holdout])
-    return SplitBounds(lo, hi, row["hi"])
+    lo, hi = times_at_positions(events, ts, [tuning, holdout], days)
+    return SplitBounds(days[0][2], lo, hi, days[-1][3])
 
 
 def tag_split(events: DataFrame, bounds: SplitBounds, ts: str = "ts") -> DataFrame:
@@ -160,8 +161,7 @@ def tag_split(events: DataFrame, bounds: SplitBounds, ts: str = "ts") -> DataFra
 def temporal_three_way_split(events: DataFrame, ratio: float = 0.2, ts: str = "ts") -> tuple[DataFrame, SplitBounds]:
     """Events tagged by part; raises where a part stays empty (all events at one instant, say)."""
     bounds = split_bounds(events, ratio, ts)
-    first = events.agg(F.min(micros(ts)).alias("lo")).first()["lo"]
-    if first >= bounds.tuning_start or bounds.tuning_start >= bounds.holdout_start:
+    if bounds.first >= bounds.tuning_start or bounds.tuning_start >= bounds.holdout_start:
         raise ValueError("the three-way split left a part empty")
     return tag_split(events, bounds, ts), bounds
 
