@@ -2,23 +2,45 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offerlens.functions.exprs import day_number, micros, order_bucket
+from offerlens.functions.exprs import bucket_of, day_number, micros, order_number
+
+
+BUCKETS = 128
+
+
+def order_buckets(df: DataFrame, order: str) -> Column:
+    """A small integer that never decreases along `order`, cutting the rows into buckets of about equal size.
+
+    The cuts are approximate quantiles taken once to the driver, so clustered ids and outliers spread as well as dense
+    ids do; being literals, they are the same in every evaluation.  Rows with equal seven-byte text prefixes share a
+    bucket.
+    """
+    dtype, column, prefix = dict(df.dtypes)[order], F.col(order), ""
+    if dtype == "string":
+        ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+        if ends["lo"] is not None:
+            prefix = os.path.commonprefix([ends["lo"], ends["hi"]])
+    number = order_number(column, dtype, prefix)
+    places = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    cuts = df.agg(F.percentile_approx(number, places, 1000).alias("cuts")).first()["cuts"]
+    return bucket_of(number, sorted(set(cuts or [])))
 
 
 def numbered(df: DataFrame, name: str, order: str, group: list[str] | None = None, with_size: str | None = None,
              ) -> DataFrame:
     """Add 0-based positions in `order` within each group (the whole table without one).
 
-    Rows are numbered inside coarse order-preserving buckets and shifted by the rows of the earlier buckets, so no
-    task sees more than one bucket of one group.  `order` must be unique within a group for a stable result.
+    Rows are numbered inside order-preserving buckets and shifted by the rows of the earlier buckets, so no task sees
+    more than one bucket of one group.  `order` must be unique within a group for a stable result.
     """
     group = group or []
-    dtype = dict(df.dtypes)[order]
-    tagged = df.withColumn("_bucket", order_bucket(F.col(order), dtype))
+    tagged = df.withColumn("_bucket", order_buckets(df, order))
     keys = [*group, "_bucket"]
     sizes = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,8 +66,9 @@ def times_at_positions(df: DataFrame, ts: str, positions: list[int],
                        days: list[tuple[int, int, int, int]] | None = None) -> list[int]:
     """The event times (epoch micros) at 0-based positions of the time-sorted table.
 
-    Day counts locate the day of each position; only those days are then counted by instant.  The driver receives one
-    row per day and the answers.
+    Day counts locate the day of each position, counts per second its second, counts per instant the answer, so no step
+    ranks more rows than a day has seconds or a second has microseconds.  The driver receives one row per day and the
+    answers.
     """
     days = day_histogram(df, ts) if days is None else days
     wanted = []
@@ -56,13 +79,23 @@ def times_at_positions(df: DataFrame, ts: str, positions: list[int],
                 break
             seen += n
         wanted.append((day, position - seen))
-    instants = df.filter(day_number(ts).isin(sorted({d for d, _ in wanted}))).groupBy(
-        day_number(ts).alias("d"), micros(ts).alias("us")).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("d").orderBy("us").rowsBetween(Window.unboundedPreceding, 0))
-    row = instants.select("d", "us", upto.alias("upto")).agg(*[
-        F.min(F.when((F.col("d") == d) & (F.col("upto") > k), F.col("us"))).alias(f"p{i}")
-        for i, (d, k) in enumerate(wanted)]).first()
-    return list(row)
+    out = []
+    for day, place in wanted:
+        # From the day to the second holding the place, from the second to the instant.
+        inside = df.filter(day_number(ts) == day)
+        second = F.floor(micros(ts) / F.lit(1_000_000)).cast("bigint")
+        found, rest = _first_reaching(inside, second, place)
+        out.append(_first_reaching(inside.filter(second == found), micros(ts), rest)[0])
+    return out
+
+
+def _first_reaching(df: DataFrame, key: Column, place: int) -> tuple[int, int]:
+    """The smallest key whose running count passes `place`, and the place left within that key."""
+    counts = df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    hit = counts.select("k", "n", upto.alias("upto")).filter(F.col("upto") > place)
+    row = hit.agg(F.min(F.struct("k", "n", "upto")).alias("x")).first()["x"]
+    return row["k"], place - (row["upto"] - row["n"])
 
 
 def grouped_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -74,10 +107,12 @@ def grouped_median(df: DataFrame, keys: list[str], value: str, name: str) -> Dat
     return middle_of_counts(counts, keys, value, name)
 
 
-def middle_of_counts(counts: DataFrame, keys: list[str], value: str, name: str, total: Column | None = None) -> DataFrame:
-    """The median of (keys, value, _n) counts; `total` gives the rows per key where the counts stop early."""
+def middle_of_counts(counts: DataFrame, keys: list[str], value: str, name: str, below: Column | None = None,
+                     total: Column | None = None) -> DataFrame:
+    """The median of (keys, value, _n) counts; for counts of a middle part only, `below` gives the rows before it and
+    `total` all rows of the key."""
     by_value = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("_n").over(by_value)
+    upto = F.sum("_n").over(by_value) + (below if below is not None else F.lit(0))
     size = total if total is not None else F.sum("_n").over(Window.partitionBy(*keys))
     placed = counts.select(*keys, value, "_n", upto.alias("_upto"), size.alias("_size"))
     lower_rank = F.floor((F.col("_size") + 1) / 2)
@@ -90,44 +125,49 @@ def middle_of_counts(counts: DataFrame, keys: list[str], value: str, name: str,
     return placed.groupBy(*keys).agg(((at(lower_rank) + at(upper_rank)) / 2.0).alias(name))
 
 
-def column_medians(df: DataFrame, columns: list[str], accuracy: int = 10_000) -> dict[str, float | None]:
-    """Exact medians of many numeric columns of one table.
+def column_medians(df: DataFrame, columns: list[str], accuracy: int = 10_000,
+                   rank_at_once: int = 2_000_000) -> dict[str, float | None]:
+    """Exact medians of many numeric columns of one table (None for a column without values).
 
-    An approximate pass brackets each median within a sliver of the ranks; a second pass counts the rows below the
-    bracket and the values inside it.  The bracket is widened where it missed.  The driver receives a few
-    numbers per column.
+    Approximate quantiles bracket each median within a sliver of the ranks.  While a bracket holds more than
+    `rank_at_once` rows it is narrowed again among its own rows; then the distinct values inside it are ranked.  The
+    driver receives a few numbers per column.
     """
-    out: dict[str, float | None] = {}
-    todo, margin = list(columns), 4.0 / accuracy
-    while todo:
-        low, high = max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)
-        brackets = df.agg(*[
-            F.struct(F.percentile_approx(F.col(c).cast("double"), F.array(F.lit(low), F.lit(high)), accuracy).alias("b"),
-                     F.count(c).alias("n")).alias(f"s{i}") for i, c in enumerate(todo)]).first()
-        live = []
-        for i, c in enumerate(todo):
-            if brackets[f"s{i}"]["n"] == 0:
-                out[c] = None
-            else:
-                live.append((c, *brackets[f"s{i}"]["b"], brackets[f"s{i}"]["n"]))
-        todo = []
-        if not live:
+    values = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    sizes = df.agg(*[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    n = {c: sizes[f"n{i}"] for i, c in enumerate(columns)}
+    out: dict[str, float | None] = {c: None for c in columns}
+    brackets = {c: (float("-inf"), float("inf"), 0, n[c]) for c in columns if n[c]}
+    narrowed: dict[str, int] = dict.fromkeys(brackets, 0)
+    while True:
+        wide = [c for c, (_, _, _, inside) in brackets.items() if inside > rank_at_once and narrowed[c] < 4]
+        if not wide:
             break
-        # One narrow row per column and value: values inside the bracket as they are, all smaller ones as null, so that
-        # the group of nulls counts the rows below the bracket.
-        cells = F.array(*[
-            F.when(F.col(c).cast("double") <= hi, F.struct(
-                F.lit(i).alias("i"), F.when(F.col(c).cast("double") >= lo, F.col(c).cast("double")).alias("v")))
-            for i, (c, lo, hi, _) in enumerate(live)])
-        counts = (df.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x"))
-                  .groupBy(F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("_n")))
-        # Nulls sort first, hence the running count already holds them.
-        total = F.element_at(F.array(*[F.lit(n) for _, _, _, n in live]), F.col("i") + 1)
-        found = {r["i"]: r["m"] for r in middle_of_counts(counts, ["i"], "v", "m", total).collect()}
-        for i, (c, *_rest) in enumerate(live):
-            if found.get(i) is None and margin < 0.5:
-                todo.append(c)
-            else:
-                out[c] = found.get(i)
-        margin *= 20
+        asked = []
+        for i, c in enumerate(wide):
+            lo, hi, below, inside = brackets[c]
+            at = ((n[c] + 1) / 2 - below) / inside
+            ends = F.array(F.lit(max(0.0, at - 4.0 / accuracy)), F.lit(min(1.0, at + 4.0 / accuracy)))
+            asked.append(F.percentile_approx(F.when(values[c].between(lo, hi), values[c]), ends, accuracy).alias(f"b{i}"))
+        ends = df.agg(*asked).first()
+        held = df.agg(*[a for i, c in enumerate(wide) for a in (
+            F.count(F.when(values[c] < ends[f"b{i}"][0], 1)).alias(f"l{i}"),
+            F.count(F.when(values[c].between(*ends[f"b{i}"]), 1)).alias(f"m{i}"))]).first()
+        for i, c in enumerate(wide):
+            narrowed[c] += 1
+            below, inside = held[f"l{i}"], held[f"m{i}"]
+            # A bracket that missed a middle rank is dropped and the wider one kept.
+            if below < (n[c] + 1) // 2 and below + inside >= n[c] // 2 + 1:
+                brackets[c] = (*ends[f"b{i}"], below, inside)
+    live = list(brackets)
+    if not live:
+        return out
+    cells = F.array(*[F.when(values[c].between(brackets[c][0], brackets[c][1]), F.struct(
+        F.lit(i).alias("i"), values[c].alias("v"))) for i, c in enumerate(live)])
+    counts = (df.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x"))
+              .groupBy(F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("_n")))
+    below = F.element_at(F.array(*[F.lit(brackets[c][2]) for c in live]), F.col("i") + 1)
+    total = F.element_at(F.array(*[F.lit(n[c]) for c in live]), F.col("i") + 1)
+    for r in middle_of_counts(counts, ["i"], "v", "m", below, total).collect():
+        out[live[r["i"]]] = r["m"]
     return out

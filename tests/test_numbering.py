@@ -39,7 +39,19 @@ def test_medians_are_exact(make, n):
     assert dict(rows_of(grouped_median(df, ["k"], "v", "m"), "k", "m")) == per_key
 
 
-def test_median_where_the_bracket_is_narrow(make):
-    values = list(range(100_001))
-    df = make([(float(v),) for v in values], "v double")
-    assert column_medians(df, ["v"], accuracy=100)["v"] == 50_000.0
+@pytest.mark.parametrize("n", [100_001, 100_000])
+def test_median_with_narrowed_brackets(spark, n):
+    df = spark.range(n).selectExpr("cast(id * 7919 % 100003 as double) as v", "cast(id % 2 as double) as w", "cast(null as double) as z")
+    want = {"v": statistics.median(i * 7919 % 100_003 for i in range(n)), "w": statistics.median(i % 2 for i in range(n)), "z": None}
+    assert column_medians(df, ["v", "w", "z"], accuracy=200, rank_at_once=50) == want
+
+
+def test_positions_of_clustered_ids_and_common_prefixes(make):
+    rng = random.Random(2)
+    ids = [rng.randrange(1000) + 5 * 10**17 for _ in range(400)] + [9 * 10**18, -(9 * 10**18)]
+    ids = sorted(set(ids))
+    df = make([(i,) for i in ids], "id bigint").repartition(5)
+    assert [r["pos"] for r in numbered(df, "pos", "id").orderBy("id").collect()] == list(range(len(ids)))
+    names = sorted({f"customer-東-{rng.randrange(10**6)}" for _ in range(300)} | {"customer-東", "customer-東-"})
+    df = make([(s,) for s in names], "id string").repartition(5)
+    assert {r["id"]: r["pos"] for r in numbered(df, "pos", "id").collect()} == {s: i for i, s in enumerate(names)}
