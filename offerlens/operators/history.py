@@ -247,7 +247,3 @@ def popular_in_pool(purchases: DataFrame, pool: DataFrame, n: int) -> DataFrame:
     """The n most bought items that belong to the pool."""
     return counts(purchases, ["item_id"], "purchases").join(pool.select("item_id"), "item_id", "left_semi").orderBy(
         F.desc("purchases"), "item_id").limit(n)
-
-
-def with_count(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions.constants import DAY_US, WEEK_DAYS
-from offerlens.functions.exprs import as_number, micros, ts_lit
+from offerlens.functions.exprs import micros, ts_lit
 from offerlens.operators.numbering import day_histogram, times_at_positions
 
 WEEK_US = WEEK_DAYS * DAY_US
@@ -182,8 +182,3 @@ def weekly_labels(purchases: DataFrame, grid: WeekGrid, include_validation: bool
 def limit_users(users: DataFrame, n: int, order: list[Column] | None = None) -> DataFrame:
     """The first n users, for a sample run."""
     return users.orderBy(*(order or [F.col("user_id")])).limit(n)
-
-
-def order_position(items: DataFrame, key: str = "item_id") -> Column:
-    """A stable numeric tie key for a candidate list."""
-    return as_number(F.col(key), dict(items.dtypes)[key])
