@@ -42,7 +42,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float
     t = t.withColumn("level", (total - F.coalesce(F.sum("limit").over(past), F.lit(0.0)))
                      / (weight - F.coalesce(F.sum("w").over(past), F.lit(0.0))))
     fits = F.when(F.col("level") * F.col("w") <= F.col("limit"), F.col("level"))
-    t = t.withColumn("first", F.min(fits).over(every))
+    t = t.withColumn("first", F.first(fits, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return t.select("source", "source_size", F.least("limit", F.col("first") * F.col("w")).alias("target"))
 
 
