@@ -46,26 +46,51 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float
     return t.select("source", "source_size", F.least("limit", F.col("first") * F.col("w")).alias("target"))
 
 
+def _undecided(p: np.ndarray) -> np.ndarray:
+    return (p > EPS) & (p < 1 - EPS)
+
+
 def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
-    """Round probabilities in the given order; returns them and the place of the one still undecided (-1: none)."""
-    p, open_at = p.copy(), -1
-    draws = rng.random(len(p))
-    for i in range(len(p)):
-        if not EPS < p[i] < 1 - EPS:
-            p[i] = round(p[i])
+    """Round probabilities, given in falling order of size; returns them and the place of the one still undecided (-1: none).
+
+    Each document in turn is paired with the next few, taken together, as soon as these can give or take all the mass that
+    makes it whole; they share the transfer by size.  Those for which the rest is too small are paired one with one at
+    the end.  Every step keeps all expectations and the total mass.
+    """
+    p = p.copy()
+    n, late = len(p), []
+    for j in range(n):
+        if not EPS < p[j] < 1 - EPS:
+            p[j] = round(p[j])
             continue
+        up, down, m = (1 - p[j]) * size[j], p[j] * size[j], 2
+        while True:
+            rest = slice(j + 1, min(n, j + 1 + m))
+            free = _undecided(p[rest])
+            q, mass = p[rest][free], size[rest][free].sum()
+            if len(q) and up <= q.min() * mass and down <= (1 - q.max()) * mass:
+                taken = rng.random() < p[j]
+                p[rest] = np.where(free, p[rest] + (-up if taken else down) / mass, p[rest])
+                p[j] = float(taken)
+                break
+            if j + 1 + m >= n:
+                late.append(j)
+                break
+            m *= 2
+    open_at = -1
+    for i in late:
         if open_at < 0:
             open_at = i
             continue
         j = open_at
         up = min((1 - p[i]) * size[i], p[j] * size[j])   # mass that can move from j to i
         down = min(p[i] * size[i], (1 - p[j]) * size[j])
-        move = up if draws[i] * (up + down) < down else -down
+        move = up if rng.random() * (up + down) < down else -down
         p[i] += move / size[i]
         p[j] -= move / size[j]
-        i_open, j_open = EPS < p[i] < 1 - EPS, EPS < p[j] < 1 - EPS
-        p[i], p[j] = (p[i] if i_open else round(p[i])), (p[j] if j_open else round(p[j]))
-        open_at = i if i_open else j if j_open else -1
+        open_at = i if EPS < p[i] < 1 - EPS else j if EPS < p[j] < 1 - EPS else -1
+    done = ~_undecided(p)
+    p[done] = np.round(p[done])
     return p, open_at
 
 
