@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlens.llm import exact_dedup, mixing, sharding
+from offerlens.llm import bpe, exact_dedup, mixing, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,16 @@ def op4(spark, folder):
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+@query("op7_bpe")
+def op7(spark, folder):
+    return bpe.round_trip(table(spark, folder, "documents"))
+
+
 @query("op9_mixing")
 def op9(spark, folder):
     return mixing.mix(table(spark, folder, "documents")).drop("tag")
+
+
+@query("op10_token_counts")
+def op10(spark, folder):
+    return token_counts.suffix_sums(token_counts.length_histogram(table(spark, folder, "documents")))
