@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlens.llm import bpe, exact_dedup, mixing, sharding, token_counts
+from offerlens.llm import bpe, exact_dedup, mixing, near_dup, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,11 @@ def op4(spark, folder):
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+@query("op6_near_dup")
+def op6(spark, folder):
+    return near_dup.near_duplicates(table(spark, folder, "documents"), size=3, percent=85).drop("tk")
+
+
 @query("op7_bpe")
 def op7(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"))

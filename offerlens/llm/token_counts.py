@@ -50,15 +50,14 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     """(limit, whole_docs, truncated_tokens) for any context limits: documents no longer than the limit, and the total
     tokens if every document is cut there.  `sums` comes from suffix_sums; limits are few and given by the caller."""
-    wanted = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "limit bigint")
     whole = F.col("n_tokens") <= F.col("limit")
-    return sums.join(F.broadcast(wanted)).groupBy("limit").agg(
+    each = sums.withColumn("limit", F.explode(F.array(*[F.lit(int(x)).cast("bigint") for x in limits])))
+    return each.groupBy("limit").agg(
         F.sum(F.when(whole, F.col("docs")).otherwise(0)).alias("whole_docs"),
         F.sum(F.col("docs") * F.least("n_tokens", "limit")).alias("truncated_tokens"))
 
 
 def length_quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
     """(share, n_tokens): the smallest length that at least that share of the documents doesn't exceed."""
-    wanted = sums.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    return sums.join(F.broadcast(wanted)).filter(F.col("quantile") >= F.col("share")).groupBy("share").agg(
-        F.min("n_tokens").alias("n_tokens"))
+    each = sums.withColumn("share", F.explode(F.array(*[F.lit(float(x)) for x in shares])))
+    return each.filter(F.col("quantile") >= F.col("share")).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
