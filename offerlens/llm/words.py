@@ -104,6 +104,24 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes(low, starts), np.searchsorted(starts, offs)
 
 
+_KIND = np.full(256, 3, np.uint8)  # 0 white space, 1 letters and bytes above ASCII, 2 digits, 3 other signs
+_KIND[_SPACE] = 0
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KIND[48:58] = 2
+
+
+def kind_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like word_hashes for runs of one kind (letters, digits, other signs), with capital letters as they are."""
+    if not len(buf):
+        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+    kind = _KIND[buf]
+    first = np.ones(len(buf), bool)
+    first[1:] = kind[1:] != kind[:-1]
+    first[offs[:-1][offs[:-1] < len(buf)]] = True
+    starts = np.flatnonzero(first & (kind > 0))
+    return hashes(buf, starts), np.searchsorted(starts, offs)
+
+
 def chain(*parts: np.ndarray) -> np.ndarray:
     """The hash of a sequence from the hashes of its parts; order counts."""
     out = parts[0]
