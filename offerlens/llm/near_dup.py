@@ -6,12 +6,16 @@
    below `MISS` (see `needed`); sets that fit into the sketch share a certain number.  Each value of the union's k smallest that both hold is
    in both sketches.  So with one order of the values, rare ones first, two similar sketches meet among the first
    s - t + 1 of their s values, and only those go to the inverted lists.  Common passages seldom get there.
-3. Lists give pairs without pairing all members: each list's most shared class is compared to all others of the list, and after
-   links have merged classes to components, again for the lists that still hold several, a few rounds.  What then still is
-   apart is paired across components, so no link between different components is lost.
-4. A pair goes on if the sketch of its union has `t` shared values, and is a link if the full sets confirm it.
-
-The full sets are read again from the texts for classes in lists only, picked by a bitmap of fixed size.
+3. The full sets of the classes that meet another there go to inverted lists of their own, now by the exact form of that
+   rule: sets of n shingles that share the wanted part of their union meet among the first n - t + 1 of their shingles, rare ones
+   first, where t is that part of n.  The places at which two sets meet bound what they can share; pairs that cannot reach the
+   similarity are never made.
+4. Lists give links without pairing all members: each list's most shared class, and one drawn by hash, are compared to all
+   others of the list.  Links merge classes to components, and only what the lists still hold in different components is
+   paired, so no link between different components is lost.
+5. A pair goes on if the sketch of its union has `t` shared values, and is a link if the full sets confirm it.
+
+The full sets are read again from the texts for those classes only, picked by a bitmap of fixed size.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from offerlens.llm import words as W
 from offerlens.session import materialized
 
-KEPT, MISS, ROUNDS, BITS = 64, 1e-6, 3, 24
+KEPT, MISS, BITS = 64, 1e-6, 24
 
 
 def needed(k: int, percent: int, miss: float = MISS) -> int:
@@ -158,63 +162,53 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     return near.filter(_enough(F.size(F.array_intersect("fa", "fb")), F.size("fa"), F.size("fb"), percent)).select("a", "b")
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int, k: int, key: str, text: str) -> DataFrame:
-    """(cid, root) of every class that is linked with another."""
-    s = F.size("sketch")
-    values = classes.select("cid", F.explode("sketch").alias("value"))
+def _prefixes(values: DataFrame, size: DataFrame) -> DataFrame:
+    """(value, cid, hits, rest, n): the values of each class that another class holds too and that stand, rare ones first, in its prefix.
+
+    `size` has (cid, n, t): the number of values and how many a partner must share.  Values that no other class holds are first
+    in the order; `hits` counts the shared ones, `rest` the values from this one on.
+    """
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     values = values.join(shared, "value")  # a hot value is split by the adaptive join
-    mine = Window.partitionBy("cid")  # k rows at most
+    mine = Window.partitionBy("cid")  # as many rows as a sketch or a document has values
     values = values.select("value", "cid", F.row_number().over(mine.orderBy("df", "value")).alias("r"), F.count(F.lit(1)).over(mine).alias("hits"))
-    least = F.least(F.lit(needed(k, percent)), F.ceil(s * F.lit(percent) / 100))
-    values = values.join(classes.select("cid", s.alias("s"), least.alias("t")), "cid")
-    # Values that no other class holds come first in the order, so they fill places of the prefix.
-    lists = materialized(values.filter(F.col("s") - F.col("hits") + F.col("r") <= F.col("s") - F.col("t") + 1).select("value", "cid", "hits"))
-    lists = _of_two(lists, "cid")
-    wanted = materialized(lists.select("cid").distinct().join(classes, "cid").select("cid", "d1", "d2", "tk"))
-    sets = full_sets(docs, wanted, size, key, text)
+    values = values.filter(F.col("r") <= F.col("hits")).join(size, "cid")
+    return values.filter(F.col("hits") - F.col("r") >= F.col("t") - 1).select(
+        "value", "cid", "hits", (F.col("hits") - F.col("r") + 1).alias("rest"), "n")
 
-    lists = lists.withColumn("root", F.col("cid"))
-    roots, tried = None, None
-    for step in range(ROUNDS + 1):
-        lists = materialized(lists)
-        if lists.isEmpty():
-            break
-        if step < ROUNDS:
-            # The class of each list that shares most values, of those not compared yet: the first, second, ... in that order.
-            hub = lists.groupBy("value").agg(F.max(F.struct("hits", "cid", "root")).alias("h")).select("value", "h.*")
-            hub = hub.select("value", F.col("cid").alias("hub"), F.col("root").alias("hub_root"))
-            found = lists.join(hub, "value").filter("root <> hub_root").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
-            rest = lists.join(hub, "value").filter("cid <> hub").drop("hub", "hub_root")
-        else:
-            other = lists.select("value", F.col("cid").alias("other"), F.col("root").alias("other_root"))
-            found = lists.join(other, "value").filter("cid < other and root <> other_root").select(F.col("cid").alias("a"), F.col("other").alias("b"))
-            rest = None
-        found = found.distinct()
-        if tried is not None:
-            found = found.join(tried, ["a", "b"], "left_anti")
-        found = materialized(found)
-        tried = found if tried is None else tried.union(found)
-        links = materialized(confirmed(found, classes, sets, percent, k))
-        if not links.isEmpty():
-            if roots is not None:  # links between components, then everybody's new root
-                r = roots.withColumnRenamed("cid", "v")
-                for end in "ab":
-                    to = r.select(F.col("v").alias(end), F.col("root").alias("r" + end))
-                    links = links.join(to, end, "left").withColumn(end, F.coalesce("r" + end, end)).drop("r" + end)
-                links = links.filter("a <> b").distinct()
-            new = components(links).select(F.col("v").alias("cid"), "root")
-            if roots is not None:
-                moved = new.select(F.col("cid").alias("root"), F.col("root").alias("to"))
-                old = roots.join(moved, "root", "left").select("cid", F.coalesce("to", "root").alias("root"))
-                new = old.union(new.join(roots.select("cid"), "cid", "left_anti"))
-            roots = materialized(new)
-            if rest is not None:
-                rest = rest.drop("root").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        if rest is None:
-            break
-        lists = _of_two(rest, "root")
-    return roots if roots is not None else classes.select("cid", F.col("cid").alias("root")).limit(0)
+
+def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int, k: int, key: str, text: str) -> DataFrame:
+    """(cid, root) of every class that is linked with another."""
+    part = lambda n: F.ceil(n * F.lit(percent) / 100)
+    s = F.size("sketch")
+    sketches = _prefixes(classes.select("cid", F.explode("sketch").alias("value")),
+                         classes.select("cid", s.alias("n"), F.least(F.lit(needed(k, percent)), part(s)).alias("t")))
+    met = _of_two(materialized(sketches.select("value", "cid")), "cid").select("cid").distinct()
+    wanted = materialized(met.join(classes, "cid").select("cid", "d1", "d2", "tk", "n", "sketch"))
+    sets = full_sets(docs, wanted, size, key, text)
+    lists = materialized(_prefixes(sets.select("cid", F.explode("s").alias("value")), wanted.select("cid", "n", part(F.col("n")).alias("t"))))
+    lists = materialized(_of_two(lists, "cid"))
+
+    draw = F.xxhash64("value", "cid")
+    member = F.struct("cid", "rest", "n")
+    hubs = lists.groupBy("value").agg(F.max_by(member, F.struct("hits", "cid")).alias("first"), F.max_by(member, F.struct(draw, "cid")).alias("drawn"))
+    other = hubs.select("value", F.explode(F.array_distinct(F.array("first", "drawn"))).alias("h")).select(
+        "value", F.col("h.cid").alias("cid2"), F.col("h.rest").alias("rest2"), F.col("h.n").alias("n2"))
+    possible = F.least("rest", "rest2") * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
+    pair = [F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")]
+    found = materialized(lists.join(other, (lists.value == other.value) & (F.col("cid") != F.col("cid2")) & possible).select(*pair).distinct())
+    links = materialized(confirmed(found, wanted, sets, percent, k))
+    roots = components(links)
+
+    rest = lists.join(roots.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rest = materialized(_of_two(materialized(rest), "root"))
+    other = rest.select(F.col("value").alias("value2"), F.col("cid").alias("cid2"), F.col("root").alias("root2"), F.col("rest").alias("rest2"), F.col("n").alias("n2"))
+    apart = rest.join(other, (F.col("value") == F.col("value2")) & (F.col("cid") < F.col("cid2")) & (F.col("root") != F.col("root2")) & possible)
+    apart = materialized(apart.select(*pair).distinct().join(found, ["a", "b"], "left_anti"))
+    late = materialized(confirmed(apart, wanted, sets, percent, k))
+    if not late.isEmpty():
+        roots = components(links.union(late))
+    return roots.select(F.col("v").alias("cid"), "root")
 
 
 def _of_two(lists: DataFrame, column: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlens.llm import bpe, exact_dedup, mixing, near_dup, quality, sharding, token_counts
+from offerlens.llm import bpe, exact_dedup, mixing, near_dup, quality, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,11 @@ def op1(spark, folder):
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op2_toxicity")
+def op2(spark, folder):
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op3_sharding")
 def op3(spark, folder):
     return sharding.shard_documents(table(spark, folder, "documents"), shards=16)
