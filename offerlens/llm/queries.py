@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlens.llm import bpe, exact_dedup, mixing, near_dup, quality, sharding, token_counts, toxicity
+from offerlens.llm import bpe, exact_dedup, fingerprints, mixing, near_dup, quality, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +57,11 @@ def op7(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"))
 
 
+@query("op8_fingerprints")
+def op8(spark, folder):
+    return fingerprints.compare_edits(table(spark, folder, "documents"))
+
+
 @query("op9_mixing")
 def op9(spark, folder):
     return mixing.mix(table(spark, folder, "documents")).drop("tag")

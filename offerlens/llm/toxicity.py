@@ -21,7 +21,7 @@ from offerlens.llm import labelled
 from offerlens.llm import words as W
 
 BUCKETS, DIM, SIZES, WINDOW = 1 << 17, 8, (3, 4, 5), 4
-ONES, ZEROS, WINDOWS, EPOCHS, BATCH = 1500, 2500, 256, 6, 4096
+ONES, ZEROS, WINDOWS, EPOCHS, BATCH = 1500, 2500, 64, 6, 1024
 
 _PART = np.zeros(256, np.uint8)  # bytes of words; all others are the mark between words
 for _b in (*range(97, 123), *range(48, 58), *range(128, 256)):
