@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlens.llm import bpe, exact_dedup, fingerprints, mixing, near_dup, quality, sharding, token_counts, toxicity
+from offerlens.llm import bpe, exact_dedup, fingerprints, mixing, near_dup, ngram_lm, quality, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,11 @@ def op4(spark, folder):
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+@query("op5_ngram_lm")
+def op5(spark, folder):
+    return ngram_lm.score_documents(table(spark, folder, "documents"))
+
+
 @query("op6_near_dup")
 def op6(spark, folder):
     return near_dup.near_duplicates(table(spark, folder, "documents"), size=3, percent=85).drop("tk")
