@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerlens.llm.keep import keep_rows, text_number
 from offerlens.llm.words import LOWER, UPPER
 from offerlens.session import materialized
 
@@ -64,16 +65,25 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     Empty and null texts have the empty recipe and form one group; an empty table gives an empty result; other columns
     are ignored.
     """
-    rows = recipes(docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")), "__text")
+    return _decided(docs, key, text).select(F.col("__key").alias(key), "keep_id", "group_size", "kept", F.col("__text_sha256").alias("text_sha256"))
+
+
+def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    rows = _decided(docs, key, text).filter("kept").select(F.col("__key").cast("bigint").alias("k"), F.col("__tk").alias("tk"))
+    return keep_rows(docs, rows, key, text)
+
+
+def _decided(docs: DataFrame, key: str, text: str) -> DataFrame:
+    plain = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"), text_number(text).alias("__tk"))
+    rows = recipes(plain, "__text")
     lists = verified(rows.select("__uid", "__parts"))
     empty = F.array().cast("array<struct<n:bigint,version:int>>")
-    rows = materialized(rows.select("__uid", "__key", "__text_sha256").join(lists, "__uid", "left").withColumn(
+    rows = materialized(rows.select("__uid", "__key", "__tk", "__text_sha256").join(lists, "__uid", "left").withColumn(
         "__recipe", F.coalesce("__recipe", empty)))
     groups = rows.groupBy("__recipe").agg(F.max(F.struct("__key", "__uid")).alias("__keep"),
                                           F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, "__recipe").select(
-        F.col("__key").alias(key), F.col("__keep.__key").alias("keep_id"), "group_size",
-        (F.col("__uid") == F.col("__keep.__uid")).alias("kept"), F.col("__text_sha256").alias("text_sha256"))
+    return rows.join(groups, "__recipe").withColumn("keep_id", F.col("__keep.__key")).withColumn("kept", F.col("__uid") == F.col("__keep.__uid"))
 
 
 SQL = """

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.llm import words as W
+from offerlens.llm.keep import keep_rows, text_number
 from offerlens.session import materialized
 
 KEPT, MISS, BITS = 64, 1e-6, 24
@@ -87,7 +88,7 @@ def sketched(docs: DataFrame, size: int, k: int, key: str, text: str) -> DataFra
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.xxhash64(t).alias("tk"), t.alias("t"))
+    return docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), text_number(text).alias("tk"), t.alias("t"))
 
 
 def _bitmap(numbers: DataFrame) -> dict[int, bytes]:
@@ -218,13 +219,14 @@ def _of_two(lists: DataFrame, column: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = KEPT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: (key, n_shingles, component_id, kept, tk).
+    """One row per row of docs: (key, n_shingles, component_id, kept, tk, component).
 
     Words and letters as in `words`; a set holds the distinct shingles of `size` words, or all words as one where there
     are fewer.  Documents whose sets are equal or share at least `percent` % of their union are linked; `component_id`
     is the smallest key that links reach, and the rows with that key are `kept`.  Texts without words (null, empty, white space) are linked
     with nothing: their component is their own key.  A null key is never the smallest of several.  Rows that repeat a key
-    and text are equal sets.  An empty table gives an empty result; other columns are ignored.  `tk` is a number of the text.
+    and text are equal sets.  An empty table gives an empty result; other columns are ignored.  `tk` is a number of the text,
+    `component` one of the component (null for texts without words).
     """
     rows = materialized(sketched(docs, size, k, key, text))
     some = rows.filter("n > 0")
@@ -234,8 +236,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     named = classes.select("cid", "d1", "d2", "n", "least").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = materialized(named)
     joined = roots.select("root").distinct().join(named, "root").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(joined, "root", "left").select("d1", "d2", "n", F.coalesce("component_id", "least").alias("component_id"))
-    out = some.drop("sketch").join(named, ["d1", "d2", "n"]).select("k", "n", "component_id", "tk").union(
-        rows.filter("n = 0").select("k", "n", F.col("k").alias("component_id"), "tk"))
+    named = named.join(joined, "root", "left").select("d1", "d2", "n", "root", F.coalesce("component_id", "least").alias("component_id"))
+    out = some.drop("sketch").join(named, ["d1", "d2", "n"]).select("k", "n", "component_id", "tk", "root").union(
+        rows.filter("n = 0").select("k", "n", F.col("k").alias("component_id"), "tk", F.lit(None).cast("bigint")))
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id",
-                      F.col("k").eqNullSafe(F.col("component_id")).alias("kept"), "tk")
+                      F.col("k").eqNullSafe(F.col("component_id")).alias("kept"), "tk", F.col("root").alias("component"))
+
+
+def representatives(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs with the smallest key of their component, one for each, and those without words."""
+    found = near_duplicates(docs, size, percent, key=key, text=text, **options).withColumnRenamed(key, "k")
+    first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "tk")).alias("f"))
+    kept = first.select("f.k", "f.tk").union(found.filter("component is null").select("k", "tk"))
+    return keep_rows(docs, kept, key, text)

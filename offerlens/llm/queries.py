@@ -54,7 +54,7 @@ def op5(spark, folder):
 
 @query("op6_near_dup")
 def op6(spark, folder):
-    return near_dup.near_duplicates(table(spark, folder, "documents"), size=3, percent=85).drop("tk")
+    return near_dup.near_duplicates(table(spark, folder, "documents"), size=3, percent=85).drop("tk", "component")
 
 
 @query("op7_bpe")

@@ -154,7 +154,44 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
     without labels the score is that of an untrained model; null keys, repeated rows and other columns change nothing; an empty
     table gives an empty result.
     """
-    source = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t"))
+    value, bias, weights = learnt(docs, labels, label, ones, zeros, key, text)
+    box = docs.sparkSession.sparkContext.broadcast(value)  # BUCKETS numbers
+
+    def scored(batches):
+        for batch in batches:
+            for rows, buf, offs in W.slices(batch, "t", 1_000_000):
+                yield pa.RecordBatch.from_arrays([rows.column("k"), pa.array(probability(box.value, bias, weights, buf, offs))], ["k", "score"])
+
+    return _source(docs, key, text).mapInArrow(scored, "k bigint, score double").select(
+        F.col("k").alias(key), labelled.held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, ones: int = ONES, zeros: int = ZEROS,
+                    key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs below the threshold, with all their columns and without a shuffle."""
+    value, bias, weights = learnt(docs, labels, label, ones, zeros, key, text)
+    box = docs.sparkSession.sparkContext.broadcast(value)
+
+    def kept(batches):
+        for batch in batches:
+            for rows, buf, offs in W.slices(batch, text, 1_000_000):
+                yield rows.filter(pa.array(probability(box.value, bias, weights, buf, offs) < threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
+def probability(value: np.ndarray, bias: float, weights: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    top, mean = window_logits(value, bias, buf, offs)
+    return 1 / (1 + np.exp(-np.clip(weights[0] * top + weights[1] * mean + weights[2], -50, 50)))
+
+
+def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t"))
+
+
+def learnt(docs: DataFrame, labels: DataFrame, label: str, ones: int, zeros: int, key: str, text: str) -> tuple[np.ndarray, float, np.ndarray]:
+    """The model of `fit` from a bounded sample of labelled documents."""
+    source = _source(docs, key, text)
     # The sample is chosen among keys; their texts are then read by a filter that holds the sampled keys only.
     table = labelled.label_table(labels, label).join(source.select("k").distinct(), "k", "left_semi")
     chosen = {r.k: r.y for r in labelled.sample(table, ones, zeros).collect()}  # ones + zeros rows at most
@@ -167,15 +204,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
 
     picked = source.filter(F.col("k").isin(list(chosen))) if chosen else source.limit(0)
     got = picked.mapInArrow(bagged, "k bigint, w array<binary>").dropDuplicates(["k"]).orderBy(F.xxhash64("k", F.lit(13)), "k").collect()
-    value, bias, weights = fit([([np.frombuffer(w, np.int32) for w in r.w], chosen[r.k]) for r in got])
-    box = docs.sparkSession.sparkContext.broadcast(value)  # BUCKETS numbers
-
-    def scored(batches):
-        for batch in batches:
-            for rows, buf, offs in W.slices(batch, "t", 1_000_000):
-                top, mean = window_logits(box.value, bias, buf, offs)
-                z = weights[0] * top + weights[1] * mean + weights[2]
-                yield pa.RecordBatch.from_arrays([rows.column("k"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["k", "score"])
-
-    return source.mapInArrow(scored, "k bigint, score double").select(
-        F.col("k").alias(key), labelled.held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return fit([([np.frombuffer(w, np.int32) for w in r.w], chosen[r.k]) for r in got])
