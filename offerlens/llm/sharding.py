@@ -24,9 +24,9 @@ LEVELS, PER_LEVEL, FINE = 8, 512, 64
 def place(items: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each item (rows: shares of the totals), largest first, by dot product with residual capacity.
 
-    The byte column counts four times, since equal bytes are the promise and the others the aim.
+    The byte column counts sixteen times, since equal bytes are the promise and the others the aim.
     """
-    weight = np.array([4.0] + [1.0] * (items.shape[1] - 1))
+    weight = np.array([16.0] + [1.0] * (items.shape[1] - 1))
     left = np.full((shards, items.shape[1]), 1.0 / shards)
     where = np.zeros(len(items), np.int64)
     for i in np.lexsort((np.arange(len(items)), -items.max(axis=1))) if len(items) else ():
@@ -64,19 +64,20 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
     heavy = groups.filter(F.col("share") > bound).orderBy(F.desc("share"), "g").collect()  # 3 * FINE * shards rows at most
     light = (groups.filter(F.col("share") <= bound).groupBy(parcel.alias("p")).agg(*[F.sum(c).alias(c) for c in "abc"])
              .orderBy("p").collect())  # LEVELS * PER_LEVEL rows at most
-    labels, vectors, pieces = [], [], []
-    for r in heavy:
-        n = max(1, math.ceil(r.share * shards))  # a group above a shard's capacity goes in parts
-        pieces.append((r.g, n))
-        for j in range(n):
-            labels.append((r.g, j))
-            vectors.append([r[c] / x / n for c, x in zip("abc", totals, strict=True)])
+    # A group above a shard's capacity goes in parts, eight for each shard that it would fill.
+    pieces = [(r.g, math.ceil(8 * r.share * shards) if r.share * shards > 1 else 1) for r in heavy]
+    split = spark.createDataFrame(pieces, "g bigint, n int")
+    labels, vectors = [], []
+    cut = rows.join(F.broadcast(split.filter("n > 1")), "g").groupBy("g", F.pmod("spread", "n").cast("int").alias("p")).agg(
+        F.sum("size").alias("a"), F.sum("tokens").alias("b"), F.count(F.lit(1)).alias("c"))
+    for r in sorted([*cut.collect(), *({"g": r.g, "p": 0, "a": r.a, "b": r.b, "c": r.c} for r in heavy if r.share * shards <= 1)], key=lambda r: (r["g"], r["p"])):
+        labels.append((r["g"], r["p"]))
+        vectors.append([r[c] / x for c, x in zip("abc", totals, strict=True)])
     for r in light:
         labels.append((int(r.p), -1))
         vectors.append([r[c] / x for c, x in zip("abc", totals, strict=True)])
     where = place(np.array(vectors).reshape(-1, 3), shards)
 
-    split = spark.createDataFrame(pieces, "g bigint, n int")
     placed = spark.createDataFrame([(a, b, int(s)) for (a, b), s in zip(labels, where, strict=True)], "item bigint, piece int, shard int")
     rows = rows.join(F.broadcast(split), "g", "left")
     rows = rows.withColumn("item", F.when(F.col("n").isNull(), parcel.cast("bigint")).otherwise(F.col("g")))
