@@ -49,11 +49,9 @@ SOURCE_RANDOM = "L3_random_fallback"
 # Sampling sizes.
 NEGATIVES_PER_USER_WEEK = 8
 NEGATIVES_PER_EVENT = 5
-HARD_POOL_LIMIT = 250
 POPULAR_CANDIDATES = 100
 MAX_CANDIDATES_PER_USER = 500
 MIN_ITEMS_PER_GENRE = 20
-MAX_EVALUATION_USERS = 1000
 BOOTSTRAP_REPEATS = 2000
 TOP_K = 10
 MAX_REQUEST_TOP_K = 20

@@ -19,8 +19,15 @@ def negative_conflicts(negatives: DataFrame, bought: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("conflicts"))
 
 
-def _check(df: DataFrame, name: str, passed: Column) -> DataFrame:
-    return df.agg(F.coalesce(passed, F.lit(True)).alias("passed")).select(F.lit(name).alias("check_name"), "passed")
+# The checks of leakage_checks in their order.
+LEAKAGE_CHECKS = ("events_of_later_parts_left_out", "history_older_than_event", "one_history_for_an_event", "visits_older_than_tuning",
+                  "parts_follow_in_time", "labels_agree_with_source", "region_leaves_label_open", "targets_never_labelled",
+                  "negatives_never_bought", "positives_all_present")
+
+
+def _check(df: DataFrame, name: str, passed: Column, otherwise: bool = False) -> DataFrame:
+    """One row; `otherwise` is the verdict where there is nothing to judge."""
+    return df.agg(F.coalesce(passed, F.lit(otherwise)).alias("passed")).select(F.lit(name).alias("check_name"), "passed")
 
 
 def _none(df: DataFrame, name: str) -> DataFrame:
@@ -33,13 +40,13 @@ def _ordered(events: DataFrame) -> DataFrame:
     def of(split: str, c: str) -> Column:
         return F.max(F.when(F.col("split") == split, F.col(c)))
 
-    return _check(spans, "three time partitions strictly ordered",
+    return _check(spans, LEAKAGE_CHECKS[4],
                   (of("train", "hi") < of("early_stop", "lo")) & (of("early_stop", "hi") < of("holdout", "lo")))
 
 
 def leakage_checks(events: DataFrame, bounds: SplitBounds, pairs: DataFrame, frame: DataFrame, history_visits: DataFrame,
                    targets: DataFrame, bought: DataFrame) -> DataFrame:
-    """Ten checks on a split and its training frame.
+    """Ten checks on a split and its training frame; a missing part and a frame without rows fail the order and region checks.
 
     - `events`: all purchase events with `split`; `pairs`: the labelled training pairs; `frame`: their event-time
       features; `history_visits`: the visits given to the features; `targets`: items that must not be labelled;
@@ -56,21 +63,21 @@ def leakage_checks(events: DataFrame, bounds: SplitBounds, pairs: DataFrame, fra
         "positive_event_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     checks = [
         _none(train.join(later, "positive_event_id", "left_semi"),
-              "future purchase events excluded from training history"),
+              LEAKAGE_CHECKS[0]),
         _none(frame.filter(F.col("history_last_purchase_time") >= F.col("feature_event_time")),
-              "training history is strictly earlier than each event"),
-        _none(shared.filter("max_distinct > 1"), "positive and negatives share one event-history snapshot"),
+              LEAKAGE_CHECKS[1]),
+        _none(shared.filter("max_distinct > 1"), LEAKAGE_CHECKS[2]),
         _none(history_visits.filter(F.col("ts") >= ts_lit(bounds.tuning_start)),
-              "history visits strictly before early-stop cutoff"),
+              LEAKAGE_CHECKS[3]),
         _ordered(events),
-        _none(pairs.filter(provenance), "labels exactly match purchase/negative provenance"),
-        _check(region, "region feature cannot deterministically derive label",
+        _none(pairs.filter(provenance), LEAKAGE_CHECKS[5]),
+        _check(region, LEAKAGE_CHECKS[6],
                F.min(F.least("p", "n")) > 0),
         _none(pairs.join(targets.select("item_id"), "item_id", "left_semi"),
-              "test items absent from supervised labels"),
+              LEAKAGE_CHECKS[7]),
         _none(pairs.filter("label = 0").join(bought.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi"),
-              "no purchased item sampled negative"),
-        _check(kept, "every training positive event retained", F.sum(F.abs(F.col("a") - F.col("b"))) == 0),
+              LEAKAGE_CHECKS[8]),
+        _check(kept, LEAKAGE_CHECKS[9], F.sum(F.abs(F.col("a") - F.col("b"))) == 0, True),
     ]
     return reduce(DataFrame.unionByName, checks)
 
@@ -93,13 +100,13 @@ def submission_guards(template: DataFrame, submission: DataFrame, filled_before:
     missing = template.join(filled_before.select("user_id"), "user_id", "left_anti").agg(
         F.count(F.lit(1)).alias("n")).scalar()
     users = template.agg(F.count(F.lit(1)).alias("n"))
-    few = users.select(F.lit("missing users within max(1, 0.1%)").alias("check_name"),
+    few = users.select(F.lit("few_users_without_list").alias("check_name"),
                        (missing <= F.greatest(F.lit(1.0), F.col("n") * 0.001)).alias("passed"))
-    columns = users.select(F.lit("submission columns").alias("check_name"),
+    columns = users.select(F.lit("columns_as_asked").alias("check_name"),
                            F.lit(submission.columns == ["user_id", "purchased_items"]).alias("passed"))
     rows = submission.agg(F.count(F.lit(1)).alias("rows"), F.count("purchased_items").alias("lists"))
     expected = users.scalar()
-    whole = rows.select(F.lit("one row per template user").alias("check_name"),
+    whole = rows.select(F.lit("each_user_once").alias("check_name"),
                         ((F.col("rows") == expected) & (F.col("lists") == expected)).alias("passed"))
     return few.unionByName(columns).unionByName(whole)
 

@@ -100,9 +100,9 @@ def pool_pairs(users: DataFrame, pool: DataFrame, block_rows: int = 500, salts:
         *users.columns, key, F.col("_pos").alias("candidate_pos"))
 
 
-def full_candidate_pairs(truth: DataFrame, pool: DataFrame, max_users: int = 1000, seed: int = 42) -> DataFrame:
-    """An evaluation pool: every sampled truth user with every item of the pool, labelled by the truth."""
-    users = sample_users(truth, max_users, seed)
+def full_candidate_pairs(truth: DataFrame, pool: DataFrame, max_users: int | None = None, seed: int = 42) -> DataFrame:
+    """An evaluation pool: every truth user (a sample of `max_users` where that is asked for) with every item of the pool, labelled by the truth."""
+    users = truth.select("user_id").distinct() if max_users is None else sample_users(truth, max_users, seed)
     labels = truth.select("user_id", "item_id").distinct().withColumn("_hit", F.lit(1))
     pairs = pool_pairs(users, pool.select("item_id"))
     return pairs.join(labels, ["user_id", "item_id"], "left").select(

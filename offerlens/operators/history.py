@@ -31,9 +31,9 @@ def item_sets(facts: DataFrame) -> DataFrame:
     return facts.select("user_id", "item_id").distinct()
 
 
-def item_lists(ranked: DataFrame, keys: list[str], rank: str, k: int = TOP_K) -> DataFrame:
-    """The first k items of each key as an ordered array."""
-    kept = ranked.filter(F.col(rank) <= k)
+def item_lists(ranked: DataFrame, keys: list[str], rank: str, k: int | None = None) -> DataFrame:
+    """The items of each key as an ordered array, the first k where k is given."""
+    kept = ranked if k is None else ranked.filter(F.col(rank) <= k)
     pairs = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col("item_id").alias("i"))))
     return kept.groupBy(*keys).agg(F.transform(pairs, lambda p: p["i"]).alias("items"))
 

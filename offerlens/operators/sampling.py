@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import exprs as X
 from offerlens.functions.constants import (
-    HARD_POOL_LIMIT, MISSING_GENRE, NEGATIVES_PER_EVENT, NEGATIVES_PER_USER_WEEK, SOURCE_BAND, SOURCE_GENRE,
+    MISSING_GENRE, NEGATIVES_PER_EVENT, NEGATIVES_PER_USER_WEEK, SOURCE_BAND, SOURCE_GENRE,
     SOURCE_POSITIVE, SOURCE_RANDOM)
 from offerlens.operators import split as S
 from offerlens.operators.numbering import column_medians, numbered
@@ -90,20 +90,22 @@ def day_lists(items: DataFrame, first_day: int, last_day: int) -> DataFrame:
 
 
 def hard_negatives(positives: DataFrame, items: DataFrame, bought: DataFrame, n: int = NEGATIVES_PER_EVENT,
-                   cap: int = HARD_POOL_LIMIT, seed: int = 42, used: DataFrame | None = None,
-                   need: DataFrame | None = None) -> DataFrame:
-    """Up to n negatives per purchase event, each event on its own.
+                   seed: int = 42) -> DataFrame:
+    """n negatives per purchase event while there are eligible items, each event on its own.
 
     - `positives`: positive_event_id, user_id, item_id, ts; `items`: the result of sampling_index;
-      `bought`: user_id, item_id of all time, so that no negative was ever bought by the user;
-      `used`: further pairs to avoid; `need`: (positive_event_id, need) where fewer than n are wanted.
-
-    Nearest items of the same genre come first, then nearest of the same price band, then random ones, always among
-    the items on display at the event.  A level is opened only by events the earlier levels left short, and then all
-    their items are taken; ranking every candidate once by (level, distance) therefore gives the same choice.  Where a
-    class shows more than `cap` items on a day, `cap` of them are drawn before distances are compared; events left
-    short by such a draw look through their whole day list.
+      `bought`: user_id, item_id of all time, so that no negative was ever bought by the user.
+
+    Nearest items of the same genre come first, then nearest of the same price band, then random ones, always among all
+    items on display at the event that the user may get.  A level is opened only by events the earlier levels left
+    short, so that most events meet the items of their genre alone.
     """
+    events, lists = _asking(positives, items)
+    return _by_level(events.withColumn("need", F.lit(n)), lists, bought, dict(items.dtypes)["item_id"], n, seed)
+
+
+def _asking(positives: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The events with the attributes of their own item, and the day lists of the days they cover."""
     span = positives.agg(F.min(X.day_number("ts")).alias("lo"), F.max(X.day_number("ts")).alias("hi")).first()
     first_day, last_day = (span["lo"], span["hi"]) if span["lo"] is not None else (0, 0)
     lists = materialized(day_lists(items, first_day, last_day))
@@ -111,73 +113,66 @@ def hard_negatives(positives: DataFrame, items: DataFrame, bought: DataFrame, n:
                        *[F.col(c).cast("double").alias(f"p_{c}") for c in DISTANCE_COLUMNS])
     events = positives.select("positive_event_id", "user_id", F.col("item_id").alias("reference_item_id"), "ts",
                               X.day_number("ts").alias("_day")).join(own, "reference_item_id", "left")
-    events = events.join(need, "positive_event_id") if need is not None else events.withColumn("need", F.lit(n))
-    blocked = bought.select("user_id", "item_id")
-    blocked = blocked if used is None else blocked.unionByName(used.select("user_id", "item_id"))
-
-    # Draw from the three lists of an event at once.
-    sizes = lists.groupBy("level", "key", "_day").agg(F.max("_size").alias("_size"))
-    strata = F.least(F.lit(cap).cast("bigint"), F.col("_size"))
-    asked = events.withColumn("_class", F.explode(_classes("genre_name", "price_band"))).select(
-        "*", "_class.level", "_class.key").drop("_class", "genre_name", "price_band")
-    asked = asked.join(sizes, ["level", "key", "_day"]).withColumn(
-        "_j", F.explode(F.sequence(F.lit(0).cast("bigint"), strata - 1)))
-    drawn = X.draw([F.col("positive_event_id"), F.col("_j"), F.col("level")], seed)
-    place = X.stratum_position(F.col("_j"), strata, F.col("_size"), drawn)
-    asked = asked.withColumn("_pos", place).drop("_j", "_size")
-    candidates = asked.join(lists.drop("_size"), ["level", "key", "_day", "_pos"])
-    chosen = _nearest(candidates, blocked, dict(items.dtypes)["item_id"], n, seed)
-
-    # Only lists longer than the cap can have hidden an eligible item from a short event.
-    longest = lists.filter(F.col("level") == 2).agg(F.max("_size").alias("n")).first()["n"]
-    if longest is not None and longest > cap:
-        chosen = materialized(chosen)
-        have = chosen.groupBy("positive_event_id").agg(F.count(F.lit(1)).alias("_have"))
-        short = events.join(have, "positive_event_id", "left").withColumn(
-            "need", F.col("need") - F.coalesce("_have", F.lit(0))).filter("need > 0").drop("_have")
-        everything = lists.filter((F.col("level") == 2) & (F.col("_size") > cap)).drop("_size", "_pos")
-        rest = short.drop("genre_name", "price_band").join(everything, "_day").join(
-            chosen.select("positive_event_id", "item_id"), ["positive_event_id", "item_id"], "left_anti")
-        chosen = chosen.unionByName(_nearest(rest, blocked, dict(items.dtypes)["item_id"], n, seed))
+    return events, lists
+
+
+def _by_level(events: DataFrame, lists: DataFrame, bought: DataFrame, item_type: str, n: int, seed: int,
+              held: DataFrame | None = None) -> DataFrame:
+    """The `need` best items of each event; items `held` by the user's same or an earlier event are left to it."""
+    chosen = None
+    for level, key in enumerate((F.col("genre_name"), F.col("price_band").cast("string"), F.lit("all"))):
+        short = events
+        if chosen is not None:
+            have = chosen.groupBy("positive_event_id").agg(F.count(F.lit(1)).alias("_have"))
+            short = events.join(have, "positive_event_id", "left").withColumn(
+                "need", F.col("need") - F.coalesce("_have", F.lit(0))).filter("need > 0").drop("_have")
+        shown = lists.filter(F.col("level") == level).drop("level")
+        found = short.withColumn("key", key).join(shown, ["key", "_day"]).filter(
+            S.available_at(F.col("ts"), F.col("disp_from"), F.col("disp_end"))).join(
+            bought.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+        if held is not None:
+            h = held.select(F.col("user_id").alias("_u"), F.col("item_id").alias("_i"), F.col("positive_event_id").alias("_e"))
+            found = found.join(h, (F.col("user_id") == F.col("_u")) & (F.col("item_id") == F.col("_i"))
+                               & (F.col("_e") <= F.col("positive_event_id")), "left_anti")
+        if chosen is not None:
+            found = found.join(chosen.select("positive_event_id", "item_id"), ["positive_event_id", "item_id"], "left_anti")
+        best = _nearest(found, level, item_type, n, seed)
+        chosen = materialized(best if chosen is None else chosen.unionByName(best))
     return chosen
 
 
-def _nearest(candidates: DataFrame, blocked: DataFrame, item_type: str, n: int, seed: int) -> DataFrame:
-    """The wanted number of candidates per event: allowed ones only, lowest level first, then nearest (level 2: random)."""
-    allowed = candidates.filter(S.available_at(F.col("ts"), F.col("disp_from"), F.col("disp_end"))).join(
-        blocked, ["user_id", "item_id"], "left_anti")
+def _nearest(allowed: DataFrame, level: int, item_type: str, n: int, seed: int) -> DataFrame:
+    """The wanted number of candidates per event: the nearest, at the last level random ones."""
     chance = X.draw([F.col("positive_event_id"), X.as_number(F.col("item_id"), item_type)], seed + 7)
-    place = F.when(F.col("level") < 2, item_distance("c_", "p_")).otherwise(chance.cast("double"))
-    best = allowed.select("positive_event_id", "user_id", "reference_item_id", "need", "item_id",
-                          F.struct("level", place.alias("place")).alias("o"))
-    best = best.groupBy("positive_event_id", "user_id", "reference_item_id", "need", "item_id").agg(F.min("o").alias("o"))
-    kept = first_n(best, ["positive_event_id"], [F.col("o"), F.col("item_id")], n).filter(F.col("rank") <= F.col("need"))
-    source = F.element_at(F.array(*[F.lit(s) for s in LEVELS]), F.col("o.level") + 1)
-    return kept.select("user_id", "item_id", F.lit(0).alias("label"), "positive_event_id", "reference_item_id",
-                       source.alias("negative_source"))
+    place = item_distance("c_", "p_") if level < 2 else chance.cast("double")
+    kept = first_n(allowed.withColumn("_place", place), ["positive_event_id"], [F.col("_place"), F.col("item_id")], n)
+    return kept.filter(F.col("rank") <= F.col("need")).select(
+        "user_id", "item_id", F.lit(0).alias("label"), "positive_event_id", "reference_item_id", F.lit(LEVELS[level]).alias("negative_source"))
 
 
 def exclusive_hard_negatives(positives: DataFrame, items: DataFrame, bought: DataFrame, n: int = NEGATIVES_PER_EVENT,
-                             cap: int = HARD_POOL_LIMIT, seed: int = 42, rounds: int = 2) -> DataFrame:
-    """hard_negatives where an item serves a user only once.
+                             seed: int = 42) -> DataFrame:
+    """hard_negatives where an item serves a user only once: a user's earlier events (by id) choose first.
 
-    Each round samples for the events still short, keeps a pair for the earliest event that drew it and blocks it in
-    later rounds.  Each round is materialized, so that the next one does not repeat it.
+    Events ask in rounds and at once.  An item that several events of a user ask for goes to the earliest, also where a
+    later one held it; those left short ask for their next best, until none gets more.  As all items rank events in one order, this
+    ends with the choice that walking the events one by one gives, without a walk over one user's events in one task.
     """
-    out = None
-    for turn in range(rounds):
-        need = None
-        if out is not None:
-            have = out.groupBy("positive_event_id").agg(F.count(F.lit(1)).alias("_have"))
-            need = positives.select("positive_event_id").join(have, "positive_event_id", "left").select(
-                "positive_event_id", (F.lit(n) - F.coalesce("_have", F.lit(0))).alias("need")).filter("need > 0")
-        drawn = hard_negatives(positives, items, bought, n, cap, seed + 20 * turn, used=out, need=need)
-        first = drawn.groupBy("user_id", "item_id").agg(F.min(F.struct(
+    events, lists = _asking(positives, items)
+    events, item_type = materialized(events), dict(items.dtypes)["item_id"]
+    held, need = None, events.withColumn("need", F.lit(n))
+    while True:
+        asked = _by_level(need, lists, bought, item_type, n, seed, held)
+        if held is not None and asked.isEmpty():
+            return held
+        every = asked if held is None else held.unionByName(asked)
+        first = every.groupBy("user_id", "item_id").agg(F.min(F.struct(
             "positive_event_id", "reference_item_id", "negative_source")).alias("f"))
-        kept = first.select("user_id", "item_id", F.lit(0).alias("label"), "f.positive_event_id",
-                            "f.reference_item_id", "f.negative_source")
-        out = materialized(kept if out is None else out.unionByName(kept))
-    return out
+        held = materialized(first.select("user_id", "item_id", F.lit(0).alias("label"), "f.positive_event_id",
+                                         "f.reference_item_id", "f.negative_source"))
+        have = held.groupBy("positive_event_id").agg(F.count(F.lit(1)).alias("_have"))
+        need = materialized(events.join(have, "positive_event_id", "left").withColumn(
+            "need", F.lit(n) - F.coalesce("_have", F.lit(0)).cast("int")).filter("need > 0").drop("_have"))
 
 
 def positive_pairs(purchases: DataFrame) -> DataFrame:
@@ -191,9 +186,9 @@ def training_pairs(purchases: DataFrame, negatives: DataFrame) -> DataFrame:
 
 
 def refit_pairs(all_purchases: DataFrame, kept_negatives: DataFrame, new_purchases: DataFrame, items: DataFrame,
-                bought: DataFrame, n: int = NEGATIVES_PER_EVENT, cap: int = HARD_POOL_LIMIT, seed: int = 52) -> DataFrame:
+                bought: DataFrame, n: int = NEGATIVES_PER_EVENT, seed: int = 52) -> DataFrame:
     """Pairs of a final refit: all positives, the earlier negatives, new negatives only for the added events."""
-    added = hard_negatives(new_purchases, items, bought, n, cap, seed)
+    added = hard_negatives(new_purchases, items, bought, n, seed)
     return training_pairs(all_purchases, kept_negatives.unionByName(added))
 
 

@@ -15,7 +15,6 @@ from offerlens.operators.features import pair_features
 from offerlens.operators.history import Context
 from offerlens.operators.topk import global_top, top_k
 
-SMALL_POOL = 64
 
 
 def rule_score() -> Column:
@@ -53,9 +52,6 @@ def rules_shortlist(users: DataFrame, pool: DataFrame, ctx: Context, k: int = TO
                     owner: list[str] | None = None) -> DataFrame:
     """Pairs certain to hold every owner's k best pool items by the rule score."""
     owner = owner or ["user_id"]
-    if pool.limit(SMALL_POOL + 1).count() <= SMALL_POOL:
-        # So few items are about what a shortlist would leave; each owner takes them all.
-        return pool_pairs(users.select(*owner), pool.select("item_id")).select(*owner, "item_id")
     people = users.join(ctx.user, owner, "left").select(
         *owner, "pref_name", X.log1p_or_zero(F.col("user_mean_price")).alias("log_price"))
     known = ctx.user_genre.filter("user_genre_purchases > 0 or user_genre_visits > 0").select(*owner, "genre_name")

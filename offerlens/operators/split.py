@@ -153,9 +153,11 @@ def split_bounds(events: DataFrame, ratio: float = 0.2, ts: str = "ts") -> Split
 
 
 def tag_split(events: DataFrame, bounds: SplitBounds, ts: str = "ts") -> DataFrame:
-    """Add `split`: train, early_stop or holdout; an event at a boundary belongs to the later part."""
+    """Add `split`: train, early_stop or holdout; an event at a boundary belongs to the later part,
+    one without a time to none."""
     return events.withColumn("split", F.when(F.col(ts) < ts_lit(bounds.tuning_start), "train")
-                             .when(F.col(ts) < ts_lit(bounds.holdout_start), "early_stop").otherwise("holdout"))
+                             .when(F.col(ts) < ts_lit(bounds.holdout_start), "early_stop")
+                             .when(F.col(ts) >= ts_lit(bounds.holdout_start), "holdout"))
 
 
 def temporal_three_way_split(events: DataFrame, ratio: float = 0.2, ts: str = "ts") -> tuple[DataFrame, SplitBounds]:

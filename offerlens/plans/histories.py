@@ -104,10 +104,10 @@ def bought_sets(spark, sf):
 select user_id, string_agg(item_id, '|' order by r) as items from (
   select user_id, item_id, row_number() over (partition by user_id order by seen, item_id) as r from (
     select user_id, item_id, min(ts) as seen from fx_visits group by all) v) x
-where r <= 10 group by user_id"""))
+group by user_id"""))
 def first_viewed_lists(spark, sf):
     seen = W.visits_view(spark, sf).groupBy("user_id", "item_id").agg(F.min("ts").alias("at"))
-    ranked = first_n(seen, ["user_id"], [F.col("at"), F.col("item_id")], 10)
+    ranked = seen.withColumn("rank", F.struct("at", "item_id"))
     return tidy(H.item_lists(ranked, ["user_id"], "rank"))
 
 

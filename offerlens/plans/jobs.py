@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.functions.constants import MAX_EVALUATION_USERS, TOP_K
+from offerlens.functions.constants import TOP_K
 from offerlens.functions.exprs import ts_lit
 from offerlens.operators import audit as Q
 from offerlens.operators import candidates as CA
@@ -124,7 +124,7 @@ class EventRun:
 
 
 def event_run(w: World, kinds: tuple[str, ...] = M.KINDS, rounds: int = 500, repeats: int = 2000,
-              max_users: int = MAX_EVALUATION_USERS) -> EventRun:
+              max_users: int | None = None) -> EventRun:
     """Split by time, sample hard negatives, train and compare the rankers on the holdout, refit the best on everything."""
     users, items = C.with_age_bucket(w.users), C.with_price_features(w.items)
     targets = C.with_price_features(w.target_items)
@@ -141,7 +141,9 @@ def event_run(w: World, kinds: tuple[str, ...] = M.KINDS, rounds: int = 500, rep
 
     def pool_frame(part: str, start: int, end: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         truth = H.item_sets(events.filter(F.col("split") == part))
-        truth = materialized(truth.join(CA.sample_users(truth, max_users, seed), "user_id", "left_semi"))
+        if max_users is not None:
+            truth = truth.join(CA.sample_users(truth, max_users, seed), "user_id", "left_semi")
+        truth = materialized(truth)
         past = S.history_before(events, start)
         history = H.event_history(past, S.history_before(w.visits, start), w.items)
         product = CA.full_candidate_pairs(truth, S.pool_with_truth(items, truth, start, end), max_users, seed)

@@ -30,11 +30,11 @@ def shop(make):
     return items, bought, rows, events
 
 
-def brute(rows, events, n, meta):
+def brute(rows, events, n, meta, everyone=None):
     """The leveled choice by a plain walk over events, without draws."""
     attrs = {r[0]: r for r in rows}
     owned = {}
-    for _, u, i, _ in events:
+    for _, u, i, _ in everyone or events:
         owned.setdefault(u, set()).add(i)
 
     def dist(a, b):
@@ -66,27 +66,37 @@ def test_hard_negatives_equal_a_plain_walk(shop):
         assert sum(len(v) for v in found.values()) == min(5, size)
 
 
-def test_small_draws_still_fill_every_event(shop):
-    items, bought, rows, events = shop
-    index = N.sampling_index(items)
-    want = brute(rows, events, 5, dict(rows_of(index, "item_id", "price_band")))
-    owned = bought.select("user_id", "item_id").distinct()
-    out = N.hard_negatives(bought, index, owned, cap=3)
-    n = dict(rows_of(out.groupBy("positive_event_id").count(), "positive_event_id", "count"))
-    assert n == {e: min(5, size) for e, (_, _, size) in want.items() if size}
-    assert out.join(owned, ["user_id", "item_id"], "left_semi").count() == 0
-    assert out.select("positive_event_id", "item_id").distinct().count() == out.count()
-    again = N.hard_negatives(bought.repartition(5), index.repartition(3), owned, cap=3)
-    assert out.exceptAll(again).count() == 0
+def test_levels_open_in_order_without_a_cut(make):
+    # 400 items of the genre, 300 of them bought by the user: 100 are eligible, so no event needs another level.
+    day = datetime(2024, 1, 5)
+    rows = [(i, "A" if i < 400 else "B", 3.0 + i / 1000, 10.0, 5, None, None) for i in range(450)]
+    items = make(rows, "item_id int, genre_name string, log_discount_price double, price_rate double, valid_period int, "
+                       "disp_from timestamp, disp_end timestamp")
+    bought = make([(e, 1, e, day) for e in range(300)], "positive_event_id int, user_id int, item_id int, ts timestamp")
+    out = N.hard_negatives(bought, N.sampling_index(items), bought.select("user_id", "item_id"))
+    assert rows_of(out.groupBy("negative_source").count(), "negative_source", "count") == [(N.SOURCE_GENRE, 1500)]
+    assert out.filter("positive_event_id = 299").agg(F.min("item_id"), F.max("item_id")).first() == (300, 304)
 
 
-def test_exclusive_negatives_serve_a_user_once(shop):
-    items, bought, _, _ = shop
+def test_exclusive_negatives_equal_a_walk(shop):
+    items, bought, rows, events = shop
+    index = N.sampling_index(items)
     owned = bought.select("user_id", "item_id").distinct()
-    out = N.exclusive_hard_negatives(bought, N.sampling_index(items), owned, n=3, rounds=2)
-    assert out.select("user_id", "item_id").distinct().count() == out.count() > 0
-    assert out.join(owned, ["user_id", "item_id"], "left_semi").count() == 0
-    assert out.groupBy("positive_event_id").count().agg(F.max("count")).first()[0] <= 3
+    out = N.exclusive_hard_negatives(bought, index, owned, n=3).collect()
+    taken = {}
+    for r in out:
+        taken.setdefault(r["positive_event_id"], set()).add(r["item_id"])
+    meta = dict(rows_of(index, "item_id", "price_band"))
+    used = {}
+    for event in sorted(events):
+        e, u, *_ = event
+        first, second, _ = brute([r for r in rows if r[0] not in used.get(u, set()) or r[0] == event[2]], [event], 3, meta, events)[e]
+        mine = taken.get(e, set())
+        assert set(first) | set(second) <= mine and len(mine) <= 3
+        assert not mine & used.get(u, set())
+        used.setdefault(u, set()).update(mine)
+    again = N.exclusive_hard_negatives(bought.repartition(5), index.repartition(3), owned, n=3).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, out))
 
 
 def test_weekly_pairs(make):
