@@ -116,9 +116,15 @@ def _asking(positives: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFram
     return events, lists
 
 
-def _by_level(events: DataFrame, lists: DataFrame, bought: DataFrame, item_type: str, n: int, seed: int,
-              held: DataFrame | None = None) -> DataFrame:
-    """The `need` best items of each event; items `held` by the user's same or an earlier event are left to it."""
+def _eligible(events: DataFrame, lists: DataFrame, bought: DataFrame) -> DataFrame:
+    """The items of each event's lists (`level`, `key`) that it may get."""
+    return events.join(lists, ["level", "key", "_day"]).filter(
+        S.available_at(F.col("ts"), F.col("disp_from"), F.col("disp_end"))).join(
+        bought.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+
+
+def _by_level(events: DataFrame, lists: DataFrame, bought: DataFrame, item_type: str, n: int, seed: int) -> DataFrame:
+    """The `need` best items of each event, level by level: a level is opened for the events still short."""
     chosen = None
     for level, key in enumerate((F.col("genre_name"), F.col("price_band").cast("string"), F.lit("all"))):
         short = events
@@ -126,28 +132,33 @@ def _by_level(events: DataFrame, lists: DataFrame, bought: DataFrame, item_type:
             have = chosen.groupBy("positive_event_id").agg(F.count(F.lit(1)).alias("_have"))
             short = events.join(have, "positive_event_id", "left").withColumn(
                 "need", F.col("need") - F.coalesce("_have", F.lit(0))).filter("need > 0").drop("_have")
-        shown = lists.filter(F.col("level") == level).drop("level")
-        found = short.withColumn("key", key).join(shown, ["key", "_day"]).filter(
-            S.available_at(F.col("ts"), F.col("disp_from"), F.col("disp_end"))).join(
-            bought.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-        if held is not None:
-            h = held.select(F.col("user_id").alias("_u"), F.col("item_id").alias("_i"), F.col("positive_event_id").alias("_e"))
-            found = found.join(h, (F.col("user_id") == F.col("_u")) & (F.col("item_id") == F.col("_i"))
-                               & (F.col("_e") <= F.col("positive_event_id")), "left_anti")
+        found = _eligible(short.withColumns({"level": F.lit(level), "key": key}), lists, bought)
         if chosen is not None:
             found = found.join(chosen.select("positive_event_id", "item_id"), ["positive_event_id", "item_id"], "left_anti")
-        best = _nearest(found, level, item_type, n, seed)
+        best = _nearest(found, item_type, n, seed)
         chosen = materialized(best if chosen is None else chosen.unionByName(best))
     return chosen
 
 
-def _nearest(allowed: DataFrame, level: int, item_type: str, n: int, seed: int) -> DataFrame:
-    """The wanted number of candidates per event: the nearest, at the last level random ones."""
+def _beyond(events: DataFrame, lists: DataFrame, bought: DataFrame, held: DataFrame, item_type: str, n: int, seed: int) -> DataFrame:
+    """The `need` best items of each of a few events among those that neither it nor an earlier event of the user holds."""
+    asked = events.withColumn("_class", F.explode(_classes("genre_name", "price_band"))).select("*", "_class.level", "_class.key").drop("_class")
+    h = held.select(F.col("user_id").alias("_u"), F.col("item_id").alias("_i"), F.col("positive_event_id").alias("_e"))
+    free = _eligible(asked, lists, bought).join(h, (F.col("user_id") == F.col("_u")) & (F.col("item_id") == F.col("_i"))
+                                                & (F.col("_e") <= F.col("positive_event_id")), "left_anti")
+    # An item of several of the event's classes counts in the nearest.
+    first = free.groupBy("positive_event_id", "item_id").agg(F.min("level").alias("level"))
+    return _nearest(free.join(first, ["positive_event_id", "item_id", "level"]), item_type, n, seed)
+
+
+def _nearest(allowed: DataFrame, item_type: str, n: int, seed: int) -> DataFrame:
+    """The wanted number of candidates per event: lowest level first, then the nearest, at the last level random ones."""
     chance = X.draw([F.col("positive_event_id"), X.as_number(F.col("item_id"), item_type)], seed + 7)
-    place = item_distance("c_", "p_") if level < 2 else chance.cast("double")
-    kept = first_n(allowed.withColumn("_place", place), ["positive_event_id"], [F.col("_place"), F.col("item_id")], n)
+    place = F.when(F.col("level") < 2, item_distance("c_", "p_")).otherwise(chance.cast("double"))
+    kept = first_n(allowed.withColumn("_place", place), ["positive_event_id"], [F.col("level"), F.col("_place"), F.col("item_id")], n)
+    source = F.element_at(F.array(*[F.lit(s) for s in LEVELS]), F.col("level") + 1)
     return kept.filter(F.col("rank") <= F.col("need")).select(
-        "user_id", "item_id", F.lit(0).alias("label"), "positive_event_id", "reference_item_id", F.lit(LEVELS[level]).alias("negative_source"))
+        "user_id", "item_id", F.lit(0).alias("label"), "positive_event_id", "reference_item_id", source.alias("negative_source"))
 
 
 def exclusive_hard_negatives(positives: DataFrame, items: DataFrame, bought: DataFrame, n: int = NEGATIVES_PER_EVENT,
@@ -162,9 +173,12 @@ def exclusive_hard_negatives(positives: DataFrame, items: DataFrame, bought: Dat
     events, item_type = materialized(events), dict(items.dtypes)["item_id"]
     held, need = None, events.withColumn("need", F.lit(n))
     while True:
-        asked = _by_level(need, lists, bought, item_type, n, seed, held)
-        if held is not None and asked.isEmpty():
-            return held
+        if held is None:
+            asked = _by_level(need, lists, bought, item_type, n, seed)
+        else:
+            asked = materialized(_beyond(need, lists, bought, held, item_type, n, seed))
+            if asked.isEmpty():
+                return held
         every = asked if held is None else held.unionByName(asked)
         first = every.groupBy("user_id", "item_id").agg(F.min(F.struct(
             "positive_event_id", "reference_item_id", "negative_source")).alias("f"))
@@ -188,7 +202,7 @@ def training_pairs(purchases: DataFrame, negatives: DataFrame) -> DataFrame:
 def refit_pairs(all_purchases: DataFrame, kept_negatives: DataFrame, new_purchases: DataFrame, items: DataFrame,
                 bought: DataFrame, n: int = NEGATIVES_PER_EVENT, seed: int = 52) -> DataFrame:
     """Pairs of a final refit: all positives, the earlier negatives, new negatives only for the added events."""
-    added = hard_negatives(new_purchases, items, bought, n, seed)
+    added = exclusive_hard_negatives(new_purchases, items, bought, n, seed)
     return training_pairs(all_purchases, kept_negatives.unionByName(added))
 
 

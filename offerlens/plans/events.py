@@ -54,7 +54,7 @@ def event_world(spark, sf) -> EventWorld:
 
 def train_negatives(w: EventWorld) -> DataFrame:
     pool = N.sampling_index(S.training_pool(w.items, w.bounds.tuning_start))
-    return N.hard_negatives(w.part("train"), pool, w.bought)
+    return N.exclusive_hard_negatives(w.part("train"), pool, w.bought)
 
 
 def train_pairs(w: EventWorld) -> DataFrame:
@@ -67,7 +67,7 @@ NAMES = "fx_users fx_purchases fx_visits fx_items fx_targets fx_items_all fx_eve
 
 def negatives_sql(part: str = "split = 'train'", pool: str = "disp_from is null or disp_from < tuning_start",
                   seed: int = 42) -> str:
-    """Hard negatives by brute force; exact while no list exceeds the draw limit."""
+    """Hard negatives by brute force: a user's events one by one, each with its best items that no earlier one has."""
     return f"""
 priced as (select i.*, ln(1 + greatest(catalog_price, 0)) as lcp, ln(1 + greatest(discount_price, 0)) as lp
   from fx_items i, fx_bounds where {pool}),
@@ -80,22 +80,18 @@ avail as (select p.*, m.item_id, m.genre_name as g2, m.band as b2,
       + 0.25 * abs(coalesce(m.valid_period, 0) - coalesce(p.valid_period, 0)) / 365.0 as d
   from pos p join meta m on (m.disp_from is null or m.disp_from <= p.ts) and (m.disp_end is null or m.disp_end >= p.ts)
   where not exists (select 1 from fx_events e where e.user_id = p.user_id and e.item_id = m.item_id)),
-l1 as (select positive_event_id, user_id, ref, item_id, 'L1_same_genre_similar' as negative_source from (
-  select *, row_number() over (partition by positive_event_id order by d, item_id) as rn from avail where g2 = genre_name) x
-  where rn <= 5),
-n1 as (select positive_event_id, count(*) as n from l1 group by all),
-l2 as (select positive_event_id, user_id, ref, item_id, 'L2_similar_price_band' as negative_source from (
-  select a.*, row_number() over (partition by a.positive_event_id order by d, a.item_id) as rn, coalesce(n, 0) as n from avail a
-  left join n1 using (positive_event_id) where b2 = band and not exists (select 1 from l1
-    where l1.positive_event_id = a.positive_event_id and l1.item_id = a.item_id)) x where rn <= 5 - n),
-l12 as (select * from l1 union all select * from l2),
-n2 as (select positive_event_id, count(*) as n from l12 group by all),
-l3 as (select positive_event_id, user_id, ref, item_id, 'L3_random_fallback' as negative_source from (
-  select a.*, row_number() over (partition by a.positive_event_id order by {draw(['a.positive_event_id', 'a.item_id'], seed + 7)},
-    a.item_id) as rn, coalesce(n, 0) as n from avail a left join n2 using (positive_event_id) where not exists (
-    select 1 from l12 where l12.positive_event_id = a.positive_event_id and l12.item_id = a.item_id)) x where rn <= 5 - n),
-negs as (select user_id, item_id, cast(0 as bigint) as label, cast(positive_event_id as bigint) as positive_event_id,
-  ref as reference_item_id, negative_source from (select * from l12 union all select * from l3) u)"""
+liked as (select *, case when g2 = genre_name then 1 when b2 = band then 2 else 3 end as lev from avail),
+lists as (select positive_event_id, user_id, ref, list(item_id order by lev, case when lev < 3 then d
+    else {draw(['positive_event_id', 'item_id'], seed + 7)} end, item_id) as best from liked group by all),
+numbered as (select *, row_number() over (partition by user_id order by positive_event_id) as k from lists),
+walk as (select user_id, k, positive_event_id, ref, best[1:5] as got, best[1:5] as used from numbered where k = 1
+  union all select n.user_id, n.k, n.positive_event_id, n.ref, list_filter(n.best, lambda x: not list_contains(w.used, x))[1:5],
+    list_concat(w.used, list_filter(n.best, lambda x: not list_contains(w.used, x))[1:5])
+  from walk w join numbered n on n.user_id = w.user_id and n.k = w.k + 1),
+given as (select user_id, positive_event_id, ref, unnest(got) as item_id from walk),
+negs as (select g.user_id, item_id, cast(0 as bigint) as label, cast(positive_event_id as bigint) as positive_event_id, g.ref as reference_item_id,
+  case lev when 1 then 'L1_same_genre_similar' when 2 then 'L2_similar_price_band' else 'L3_random_fallback' end as negative_source
+  from given g join (select positive_event_id, item_id, lev from liked) l using (positive_event_id, item_id))"""
 
 
 PAIRS_SQL = """
@@ -118,7 +114,7 @@ def training_pairs(spark, sf):
 
 @query("refit_pairs", with_views(NAMES, f"""select * from a union all
 select user_id, item_id, cast(1 as bigint), cast(positive_event_id as bigint), item_id, 'positive' from fx_split""",
-    "a as (with " + negatives_sql() + " select * from negs union all select * from (with "
+    "a as (with recursive " + negatives_sql() + " select * from negs union all select * from (with recursive "
     + negatives_sql("split <> 'train'", "true", 52) + " select * from negs) n)"))
 def refit_pairs(spark, sf):
     """Pairs of the final refit: earlier negatives kept, new events sampled against all items."""
@@ -127,29 +123,10 @@ def refit_pairs(spark, sf):
                               w.bought))
 
 
-# The events of a user one by one, each with its best items that no earlier one has.
-WALK_SQL = f"""
-liked as (select *, case when g2 = genre_name then 1 when b2 = band then 2 else 3 end as lev from avail),
-lists as (select positive_event_id, user_id, ref, list(item_id order by lev, case when lev < 3 then d
-    else {draw(['positive_event_id', 'item_id'], 49)} end, item_id) as best from liked group by all),
-numbered as (select *, row_number() over (partition by user_id order by positive_event_id) as k from lists),
-walk as (select user_id, k, positive_event_id, ref, best[1:5] as got, best[1:5] as used from numbered where k = 1
-  union all select n.user_id, n.k, n.positive_event_id, n.ref, list_filter(n.best, lambda x: not list_contains(w.used, x))[1:5],
-    list_concat(w.used, list_filter(n.best, lambda x: not list_contains(w.used, x))[1:5])
-  from walk w join numbered n on n.user_id = w.user_id and n.k = w.k + 1),
-given as (select user_id, positive_event_id, ref, unnest(got) as item_id from walk)"""
-
-
-@query("exclusive_negatives", with_views(NAMES, """
-select user_id, item_id, cast(0 as bigint) as label, cast(positive_event_id as bigint) as positive_event_id, ref as reference_item_id,
-  case lev when 1 then 'L1_same_genre_similar' when 2 then 'L2_similar_price_band' else 'L3_random_fallback' end as negative_source
-from given join (select positive_event_id, item_id, lev from liked) l using (positive_event_id, item_id)""",
-    negatives_sql() + "," + WALK_SQL).replace("with ", "with recursive ", 1))
+@query("exclusive_negatives", with_views(NAMES, "select * from negs", negatives_sql()))
 def exclusive_negatives(spark, sf):
     """Hard negatives where an item serves a user once."""
-    w = event_world(spark, sf)
-    pool = N.sampling_index(S.training_pool(w.items, w.bounds.tuning_start))
-    return tidy(N.exclusive_hard_negatives(w.part("train"), pool, w.bought))
+    return tidy(train_negatives(event_world(spark, sf)))
 
 
 @query("negative_mix", with_views(NAMES, """

@@ -132,7 +132,7 @@ def event_run(w: World, kinds: tuple[str, ...] = M.KINDS, rounds: int = 500, rep
     events = materialized(tagged)
     bought, train = H.item_sets(events), events.filter("split = 'train'")
     meta = FE.item_features(items)
-    negatives = materialized(N.hard_negatives(train, N.sampling_index(S.training_pool(items, bounds.tuning_start)), bought))
+    negatives = materialized(N.exclusive_hard_negatives(train, N.sampling_index(S.training_pool(items, bounds.tuning_start)), bought))
     pairs = N.training_pairs(train, negatives)
     seen = S.history_before(w.visits, bounds.tuning_start)
     frame = materialized(FE.event_time_features(pairs, users, meta, train, seen))

@@ -73,7 +73,7 @@ def _mentions(text: str, name: str) -> bool:
 
 def with_views(names: str, body: str, ctes: str = "") -> str:
     head = views(*names.split())
-    return f"with {head}{', ' + ctes if ctes else ''}\n{body}"
+    return f"with recursive {head}{', ' + ctes if ctes else ''}\n{body}"
 
 
 def draw(parts: list[str], seed: int) -> str:
