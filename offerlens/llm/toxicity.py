@@ -21,7 +21,7 @@ from offerlens.llm import labelled
 from offerlens.llm import words as W
 
 BUCKETS, DIM, SIZES, WINDOW = 1 << 17, 8, (3, 4, 5), 4
-ONES, ZEROS, WINDOWS, EPOCHS, BATCH = 1500, 2500, 64, 6, 1024
+ONES, ZEROS, WINDOWS, EPOCHS, BATCH = 1500, 2500, 48, 6, 1024
 
 _PART = np.zeros(256, np.uint8)  # bytes of words; all others are the mark between words
 for _b in (*range(97, 123), *range(48, 58), *range(128, 256)):
@@ -200,8 +200,11 @@ def learnt(docs: DataFrame, labels: DataFrame, label: str, ones: int, zeros: int
         for batch in batches:
             for rows, buf, offs in W.slices(batch, "t", 1_000_000):
                 found = bags(buf, offs, WINDOWS)
-                yield pa.RecordBatch.from_arrays([rows.column("k"), pa.array([[w.tobytes() for w in d] for d in found], pa.list_(pa.binary()))], ["k", "w"])
+                yield pa.RecordBatch.from_arrays([rows.column("k"), pa.array([np.concatenate([np.zeros(0, np.int32), *d]).tobytes() for d in found], pa.binary()),
+                                                  pa.array([[len(w) for w in d] for d in found], pa.list_(pa.int32()))], ["k", "w", "n"])
 
     picked = source.filter(F.col("k").isin(list(chosen))) if chosen else source.limit(0)
-    got = picked.mapInArrow(bagged, "k bigint, w array<binary>").dropDuplicates(["k"]).orderBy(F.xxhash64("k", F.lit(13)), "k").collect()
-    return fit([([np.frombuffer(w, np.int32) for w in r.w], chosen[r.k]) for r in got])
+    got = picked.mapInArrow(bagged, "k bigint, w binary, n array<int>").dropDuplicates(["k"]).orderBy(F.xxhash64("k", F.lit(13)), "k").toArrow()
+    # Views of what came, without a copy.
+    cut = [np.split(np.frombuffer(w.as_buffer(), np.int32), np.cumsum(n.as_py())[:-1]) if len(n) else [] for w, n in zip(got["w"], got["n"], strict=True)]
+    return fit(list(zip(cut, [chosen[k] for k in got["k"].to_pylist()], strict=True)))
