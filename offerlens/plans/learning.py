@@ -199,7 +199,7 @@ def ranker_comparison(spark, sf):
 
 @query("refit_top10_targets")
 def refit_top10_targets(spark, sf):
-    """The final refit on every event with negatives added for the later ones, then all target items ranked for buyers."""
+    """The final refit on every event with negatives added for the later ones, then all target items ranked for all users."""
     w = event_world(spark, sf)
     pairs = materialized(N.refit_pairs(w.events, train_negatives(w), w.events.filter("split <> 'train'"),
                                        N.sampling_index(w.items), w.bought))
@@ -207,8 +207,7 @@ def refit_top10_targets(spark, sf):
     frame = materialized(FE.event_time_features(pairs, w.users, FE.item_features(w.items), w.events, visits))
     ranker = M.fit_ranker("pairwise", frame, iterations=50)
     history = H.event_history(w.events, visits, w.items)
-    buyers = w.events.select("user_id").distinct()
-    product = CA.pool_pairs(buyers, w.targets.select("item_id")).select("user_id", "item_id")
+    product = CA.pool_pairs(w.users.select("user_id"), w.targets.select("item_id")).select("user_id", "item_id")
     rows = FE.cutoff_features(product, FE.user_features(w.users, history.user), FE.item_features(w.targets), history)
     return tidy(V.rank_predictions(M.score_ranker(ranker, rows)))
 
