@@ -2,10 +2,10 @@
 
 A word is a run of letters, digits and bytes above ASCII in lower case, with a mark at either end; its subwords are the runs
 of 3 to 5 bytes of it, each hashed to one of `BUCKETS` vectors.  The vectors of a window of 4 words are averaged and go to a
-softmax of two classes; vectors and softmax are trained jointly in NumPy on windows of a bounded sample of labelled
+softmax of two classes; vectors and softmax are trained jointly in NumPy on all windows of a bounded sample of labelled
 documents.  A misspelt or inflected word that the training never saw shares most of its subwords with the word it comes from.
 A document's probability comes from its most toxic window and the mean of its windows, weighed by a logistic regression on
-sampled documents that the vectors were not trained on.  So toxic words count for as much in a long text as in a short one.
+the whole texts of sampled documents that the vectors were not trained on.  So toxic words count for as much in a long text as in a short one.
 
 The softmax is linear in the averaged vectors, so scoring needs one number for each bucket.
 """
@@ -21,7 +21,7 @@ from offerlens.llm import labelled
 from offerlens.llm import words as W
 
 BUCKETS, DIM, SIZES, WINDOW = 1 << 17, 8, (3, 4, 5), 4
-ONES, ZEROS, WINDOWS, EPOCHS, BATCH = 1500, 2500, 48, 6, 1024
+ONES, ZEROS, EPOCHS, BATCH = 1500, 2500, 6, 1024
 
 _PART = np.zeros(256, np.uint8)  # bytes of words; all others are the mark between words
 for _b in (*range(97, 123), *range(48, 58), *range(128, 256)):
@@ -80,15 +80,12 @@ def window_logits(value: np.ndarray, bias: float, buf: np.ndarray, offs: np.ndar
     return out[0], out[1]
 
 
-def bags(buf: np.ndarray, offs: np.ndarray, most: int) -> list[list[np.ndarray]]:
-    """The bags of subwords of `most` windows of each document at most, evenly spread."""
+def bags(buf: np.ndarray, offs: np.ndarray) -> list[list[np.ndarray]]:
+    """The bags of subwords of all windows of each document."""
     grams, windows, first, n = subwords(buf, offs)
     edges = np.append(windows, n)
-    out = []
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        picked = np.unique(np.linspace(a, b - 1, min(most, b - a)).astype(int)) if b > a else []
-        out.append([np.concatenate([bucket[edges[w]: edges[w + 1]][valid[edges[w]: edges[w + 1]]] for bucket, valid in grams]) for w in picked])
-    return out
+    return [[np.concatenate([bucket[edges[w]: edges[w + 1]][valid[edges[w]: edges[w + 1]]] for bucket, valid in grams]) for w in range(a, b)]
+            for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
 class Softmax:
@@ -120,9 +117,6 @@ class Softmax:
         self.value = (vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32)
         self.bias = float(bias[1] - bias[0])
 
-    def logits(self, windows: list[np.ndarray]) -> np.ndarray:
-        return np.array([self.value[w].mean() + self.bias if len(w) else self.bias for w in windows])
-
 
 def regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a logistic regression with an intercept, by Newton's steps with a small penalty."""
@@ -135,22 +129,12 @@ def regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(sampled: list[tuple[list[np.ndarray], float]]) -> tuple[np.ndarray, float, np.ndarray]:
-    """From sampled documents (bags, label): a value for each bucket, the bias, and the document weights (max, mean, intercept)."""
-    apart = [i for i in range(len(sampled)) if i % 4 == 0]
-    learn = [i for i in range(len(sampled)) if i % 4 or len(sampled) < 40]
-    model = Softmax([w for i in learn for w in sampled[i][0]], np.array([sampled[i][1] for i in learn for _ in sampled[i][0]]))
-    z = [model.logits(sampled[i][0]) for i in apart]
-    x = np.array([(a.max(), a.mean()) if len(a) else (model.bias, model.bias) for a in z]).reshape(-1, 2)
-    return model.value, model.bias, regression(x, np.array([sampled[i][1] for i in apart]))
-
-
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, ones: int = ONES, zeros: int = ZEROS,
                     key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: (key, held_out, score, predicted).
 
-    The model learns from `ones` and `zeros` labelled documents at most, none of them held out, and from `WINDOWS`
-    windows of each at most; every text is scored whole.  Texts without words (null, empty) get the score of the bias;
+    The model learns from the whole texts of `ones` and `zeros` labelled documents at most, none of them held out; every text is
+    scored whole.  Texts without words (null, empty) get the score of the bias;
     without labels the score is that of an untrained model; null keys, repeated rows and other columns change nothing; an empty
     table gives an empty result.
     """
@@ -190,21 +174,40 @@ def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def learnt(docs: DataFrame, labels: DataFrame, label: str, ones: int, zeros: int, key: str, text: str) -> tuple[np.ndarray, float, np.ndarray]:
-    """The model of `fit` from a bounded sample of labelled documents."""
+    """From a bounded sample of labelled documents: a value for each bucket, the bias, and the document weights (max, mean, intercept)."""
     source = _source(docs, key, text)
     # The sample is chosen among keys; their texts are then read by a filter that holds the sampled keys only.
     table = labelled.label_table(labels, label).join(source.select("k").distinct(), "k", "left_semi")
-    chosen = {r.k: r.y for r in labelled.sample(table, ones, zeros).collect()}  # ones + zeros rows at most
+    chosen = labelled.sample(table, ones, zeros).withColumn("o", F.xxhash64("k", F.lit(13))).collect()  # ones + zeros rows at most
+    chosen.sort(key=lambda r: (r.o, r.k))
+    apart = {r.k: r.y for i, r in enumerate(chosen) if i % 4 == 0}
+    learn = {r.k: r.y for i, r in enumerate(chosen) if i % 4 or len(chosen) < 40}
+
+    def read(keys: dict[int, float], run, schema: str) -> pa.Table:
+        picked = source.filter(F.col("k").isin(list(keys))) if keys else source.limit(0)
+        return picked.mapInArrow(run, schema).dropDuplicates(["k"]).orderBy(F.xxhash64("k", F.lit(13)), "k").toArrow()
 
     def bagged(batches):
         for batch in batches:
             for rows, buf, offs in W.slices(batch, "t", 1_000_000):
-                found = bags(buf, offs, WINDOWS)
+                found = bags(buf, offs)
                 yield pa.RecordBatch.from_arrays([rows.column("k"), pa.array([np.concatenate([np.zeros(0, np.int32), *d]).tobytes() for d in found], pa.binary()),
                                                   pa.array([[len(w) for w in d] for d in found], pa.list_(pa.int32()))], ["k", "w", "n"])
 
-    picked = source.filter(F.col("k").isin(list(chosen))) if chosen else source.limit(0)
-    got = picked.mapInArrow(bagged, "k bigint, w binary, n array<int>").dropDuplicates(["k"]).orderBy(F.xxhash64("k", F.lit(13)), "k").toArrow()
+    got = read(learn, bagged, "k bigint, w binary, n array<int>")
     # Views of what came, without a copy.
     cut = [np.split(np.frombuffer(w.as_buffer(), np.int32), np.cumsum(n.as_py())[:-1]) if len(n) else [] for w, n in zip(got["w"], got["n"], strict=True)]
-    return fit(list(zip(cut, [chosen[k] for k in got["k"].to_pylist()], strict=True)))
+    model = Softmax([w for d in cut for w in d], np.repeat([learn[k] for k in got["k"].to_pylist()], [len(d) for d in cut]))
+    del got, cut
+    value, bias = model.value, model.bias
+    box = docs.sparkSession.sparkContext.broadcast(value)
+
+    def rated(batches):
+        for batch in batches:
+            for rows, buf, offs in W.slices(batch, "t", 1_000_000):
+                yield pa.RecordBatch.from_arrays([rows.column("k"), *map(pa.array, window_logits(box.value, bias, buf, offs))], ["k", "top", "mean"])
+
+    # The same numbers as in scoring: the largest and the mean logit of all windows, two for each document.
+    z = read(apart, rated, "k bigint, top double, mean double")
+    x = np.stack([z["top"].to_numpy(), z["mean"].to_numpy()], 1)
+    return value, bias, regression(x, np.array([apart[k] for k in z["k"].to_pylist()]))

@@ -58,6 +58,23 @@ def test_misspelt_words_share_subwords(spark):
     assert np.mean([scores[7000 + i] for i in range(20)]) > 5 * np.mean([scores[8000 + i] for i in range(20)])
 
 
+def test_one_toxic_window_in_a_long_text(spark):
+    rnd = random.Random(6)
+    rows, labels = [], []
+    for i in range(160):
+        w = corpora.words(rnd, 1600 if i % 8 else 40).split()
+        if i % 2:
+            # One window of 400, between those that an even spread of 48 would show.
+            at = next(j for j in rnd.sample(range(400), 400) if j not in set(np.linspace(0, 399, 48).astype(int)))
+            w[4 * at: 4 * at + 4] = [rnd.choice(corpora.BAD) for _ in range(4)]
+        rows.append(corpora.row(i, " ".join(w)))
+        labels.append((i, i % 2))
+    scores = toxicity.toxicity_scores(corpora.frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()
+    held = [r for r in scores if r.held_out and r.doc_id % 8]
+    assert {r.doc_id % 2 for r in held} == {0, 1}
+    assert all(r.predicted == r.doc_id % 2 for r in held)
+
+
 def test_held_out_labels_change_nothing(spark):
     docs, labels, _ = labelled(spark, 200)
     flipped = labels.selectExpr("doc_id", "if(crc32(cast(doc_id as string)) % 5 = 0, 1 - quality, quality) as quality",
