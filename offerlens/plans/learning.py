@@ -24,9 +24,6 @@ from offerlens.plans.sql import with_views
 from offerlens.session import materialized
 from offerlens.sources import views as W
 
-# Trees per model in the registered queries; the library's own defaults are those of a full run.
-TREES = 10
-
 
 def training_frame(spark, sf):
     w = event_world(spark, sf)
@@ -99,7 +96,7 @@ def raw_category_matrix(spark, sf):
 
 def weekly_model(spark, sf, include_validation=False):
     w, grid, frame, codes = weekly_frame(spark, sf, include_validation)
-    return w, grid, codes, M.fit_binary_gbt(materialized(frame), codes, iterations=TREES)
+    return w, grid, codes, M.fit_binary_gbt(materialized(frame), codes)
 
 
 def gbt_ranking(spark, sf, w, model, codes, ctx, pool, cutoff_us):
@@ -147,19 +144,20 @@ def factorization_top10(spark, sf):
     """Biased factorization of the purchases before the validation week, ranked over its candidates."""
     w = W.world(spark, sf)
     grid = S.week_grid(w.purchases)
-    model = M.fit_factorization(materialized(S.history_before(w.purchases, grid.val_start)), epochs=5)
+    model = M.fit_factorization(materialized(S.history_before(w.purchases, grid.val_start)))
     pool = S.candidates_in_window(w.items, grid.val_start)
     pairs = CA.pool_pairs(w.users.select("user_id"), pool.select("item_id")).select("user_id", "item_id")
     scored = M.factor_scores(pairs, model).withColumn("score", F.round("score", 6))
     return tidy(top_k(scored, ["user_id"], F.col("score"), 10, [F.col("item_id")]))
 
 
-def fitted(spark, sf, kind: str, tuned: bool = False):
+def fitted(spark, sf, kind: str):
+    """A ranker with the rounds of a full run; the boosted one takes its number of trees from the tuning pool."""
     w, frame = training_frame(spark, sf)
-    if not tuned:
-        return w, frame, M.fit_ranker(kind, frame, iterations=TREES)
+    if kind != "boosted":
+        return w, frame, M.fit_ranker(kind, frame)
     e = evaluation(w, "early_stop")
-    return w, frame, M.fit_ranker(kind, frame, e.frame, e.truth, rounds=TREES)
+    return w, frame, M.fit_ranker(kind, frame, e.frame, e.truth)
 
 
 def _ranker_query(kind: str):
@@ -177,7 +175,7 @@ boosted_ranker_ap, pairwise_ranker_ap, forest_ranker_ap = (_ranker_query(k) for
 @query("tuned_tree_count")
 def tuned_tree_count(spark, sf):
     """The number of trees chosen by MAP on the tuning pool."""
-    _, frame, ranker = fitted(spark, sf, "boosted", tuned=True)
+    _, frame, ranker = fitted(spark, sf, "boosted")
     return frame.agg(F.count(F.lit(1)).alias("training_rows")).withColumn("trees", F.lit(ranker.iterations).cast("bigint"))
 
 

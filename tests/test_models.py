@@ -1,3 +1,5 @@
+import types
+
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from offerlens.functions.constants import PAIR_FEATURES
 from offerlens.operators import encode as E
 from offerlens.operators import metrics as V
 from offerlens.operators import models as M
+from offerlens.plans import learning as L
 from offerlens.sources import sinks
 
 
@@ -72,6 +75,26 @@ def test_tree_count_is_chosen_on_the_tuning_pool(frame):
         M.fit_ranker("magic", frame)
 
 
+def test_margins_of_all_trees_are_those_of_the_model(frame):
+    ranker = M.fit_ranker("boosted", frame, iterations=4)
+    rows = E.assemble(E.transform_numeric(frame, ranker.preprocessor), ranker.preprocessor.features)
+    got = ranker.model.transform(M.prefix_scores(ranker, rows, [1, 4])).select("scores", F.col("rawPrediction")).collect()
+    assert all(r.scores[1] == pytest.approx(r.rawPrediction[1]) for r in got)
+
+
+def test_queries_train_for_the_rounds_of_a_full_run(frame, monkeypatch):
+    asked = []
+    monkeypatch.setattr(L, "training_frame", lambda *a: ("w", frame))
+    monkeypatch.setattr(L, "evaluation", lambda *a: types.SimpleNamespace(frame="pool", truth="truth"))
+    monkeypatch.setattr(L, "weekly_frame", lambda *a: ("w", "grid", frame, "codes"))
+    monkeypatch.setattr(M, "fit_ranker", lambda *a, **k: asked.append((a[0], len(a), k)))
+    monkeypatch.setattr(M, "fit_binary_gbt", lambda *a, **k: asked.append(("binary", len(a), k)))
+    for kind in M.KINDS:
+        L.fitted(None, None, kind)
+    L.weekly_model(None, None)
+    assert asked == [("boosted", 4, {}), ("pairwise", 2, {}), ("forest", 2, {}), ("binary", 2, {})]
+
+
 def test_binary_trees_survive_saving(make, tmp_path):
     rows = [(i % 2, *[float((i * (j + 3)) % 7) if j else float(i % 2) * 5 for j in range(len(PAIR_FEATURES))]) for i in range(300)]
     df = make(rows, "label int, " + ", ".join(f"{c} double" for c in PAIR_FEATURES))
