@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value of the file's format
-INNER_SPACE = re.compile(r"\s \s")
+INNER_SPACE = re.compile(r"\s \s|\s \Z")  # where a cut at single spaces would part white space that is one piece
 KEPT, KEPT_LENGTH = 150_000, 48
 
 

@@ -1,6 +1,7 @@
 """BPE against the public library and its own round trip; token counts against brute force."""
 
 import hashlib
+import json
 import random
 
 import pytest
@@ -32,6 +33,20 @@ def test_encoder_equals_the_library(ours, library):
         assert ours.decode(want).decode("utf-8", "replace") == library.decode(want, skip_special_tokens=False)
 
 
+def test_white_space_at_the_end_is_one_piece():
+    letters = {b: c for c, b in bpe._byte_letters().items()}
+    space, line = letters[32], letters[10]
+    vocab = {letters[b]: b for b in range(256)} | {space * 2: 256, line + space: 257}
+    spec = json.loads(bpe.read_model())
+    spec["model"] |= {"vocab": vocab, "merges": [f"{space} {space}", f"{line} {space}"]}
+    spec["added_tokens"] = [t | {"id": 258} for t in spec["added_tokens"][:1]]
+    end = spec["added_tokens"][0]["content"]
+    small, library = bpe.Bpe(json.dumps(spec)), Tokenizer.from_str(json.dumps(spec))
+    assert small.encode("a  ") == [97, 256]
+    for text in ["a  ", "a\n ", "  ", "\n ", "a b  ", "a ", " ", f"a  {end}b\n ", "a   "]:
+        assert small.encode(text) == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_pieces_stay_right_when_the_store_is_renewed(ours, library, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT", 5)
     text = " ".join(f"word{i} again" for i in range(200))
