@@ -1,10 +1,10 @@
 """I-Match fingerprints over a lexicon of middling document frequency.
 
-The lexicon holds the terms that a share of `LOW` to `HIGH` of all documents has: such terms tell topics apart and survive small
-edits.  As a document has so many distinct terms on average, at most that number over `LOW` terms can be in it, whatever the corpus.
+The lexicon holds the terms that a share of `LOW` to `HIGH` of all distinct texts has: such terms tell topics apart and survive small
+edits, and copies of a text count once, so that many of them neither push its terms out nor bring them in.  As a document has so many distinct terms on average, at most that number over `LOW` terms can be in it, whatever the corpus.
 Several randomised subsets of the lexicon are drawn, 16 at each of five rates; a document's fingerprint has for each subset a hash of
-its sorted distinct terms in it, and 0 where it has none.  A text without any lexicon term is fingerprinted by all its
-terms.  Two fingerprints are alike to the share of subsets, of those where either has terms, on which they agree; rates at which about
+its sorted distinct terms in it, and 0 where it has none.  A text without any lexicon term is fingerprinted by subsets
+of all its terms, drawn in the same way, and a hash of them all; where one of two texts is such a one, both are compared by all their terms.  Two fingerprints are alike to the share of subsets, of those where either has terms, on which they agree; rates at which about
 half of the subsets are hit weigh most, so that short and long texts are compared at rates that suit them.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.llm import words as W
+from offerlens.llm.near_dup import BITS, _bitmap
+from offerlens.session import materialized
 
 LOW, HIGH, RATES, SUBSETS = 0.001, 0.1, (1, 3, 5, 7, 9), 16
 WIDTH = len(RATES) * SUBSETS + 1
@@ -37,31 +39,71 @@ def _distinct(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, text: str = "text") -> np.ndarray:
-    """The sorted hashes of the terms whose document frequency lies in the band, counted over all documents."""
-    def run(batches):
+    """The sorted hashes of the terms whose document frequency lies in the band, counted over all distinct texts.
+
+    Texts whose hash no other row has are counted where they are.  Those that a bitmap of the repeated hashes holds are shuffled, once
+    a class and task; what the bitmap holds by chance is only shuffled without need.  Null counts as empty.
+    """
+    rows = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).select(F.xxhash64("t").alias("tk"), "t")
+    classes = materialized(rows.groupBy("tk").agg(F.count(F.lit(1)).alias("n")))
+    n = classes.count()
+    bits = np.zeros(1 << (BITS - 3), np.uint8)
+    for b, piece in _bitmap(classes.filter("n > 1")).items():
+        bits[(b - 1) * 4096: b * 4096] = np.frombuffer(piece, np.uint8)
+    box = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def held(batch):
+        tk = batch.column("tk").to_numpy()
+        bit = tk % (1 << BITS)
+        return tk, (box.value[bit >> 3] >> (bit & 7) & 1) == 1
+
+    def repeated(batches):
+        seen = np.zeros(0, np.int64)
+        for batch in batches:
+            tk, picked = held(batch)
+            first = np.zeros(len(tk), bool)  # of a text's copies in a batch one is enough
+            first[np.unique(tk, return_index=True)[1]] = True
+            picked &= first & ~np.isin(tk, seen)
+            seen = np.concatenate([seen, tk[picked]])[-10_000:]
+            for part, _, _ in W.slices(batch.filter(pa.array(picked)), "t"):
+                yield part
+
+    def counted(batch):
+        for _, buf, offs in W.slices(batch, "t", 4_000_000):
+            parts = []
+            for at in range(0, len(offs) - 1, 256):
+                to = min(at + 256, len(offs) - 1)
+                parts.append(_distinct(*W.word_hashes(buf[offs[at]: offs[to]], offs[at: to + 1] - offs[at]))[0])
+            terms, df = np.unique(np.concatenate(parts).view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df.astype(np.int64))], ["term", "df"])
+
+    def single(batches):
         for batch in batches:
-            for _, buf, offs in W.slices(batch, "t", 8_000_000):
-                parts = []
-                for at in range(0, len(offs) - 1, 256):
-                    to = min(at + 256, len(offs) - 1)
-                    parts.append(_distinct(*W.word_hashes(buf[offs[at]: offs[to]], offs[at: to + 1] - offs[at]))[0])
-                terms, df = np.unique(np.concatenate(parts).view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df.astype(np.int64))], ["term", "df"])
+            yield from counted(batch.filter(pa.array(~held(batch)[1])))
 
-    n = docs.count()
-    df = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
-    rows = df.filter((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n))).select("term").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    def one_each(batches):
+        for batch in batches:
+            yield from counted(batch)
+
+    classed = rows.mapInArrow(repeated, "tk bigint, t string").groupBy("tk").agg(F.first("t").alias("t"))
+    counts = rows.mapInArrow(single, "term bigint, df bigint").unionByName(classed.mapInArrow(one_each, "term bigint, df bigint"))
+    df = counts.groupBy("term").agg(F.sum("df").alias("df"))
+    kept = df.filter((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n))).select("term").toArrow()
+    return np.sort(kept.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _subsets(terms: np.ndarray) -> np.ndarray:
     """For each term the places of the subsets it is drawn for."""
     out = np.zeros((len(terms), WIDTH - 1), bool)
     for j in range(WIDTH - 1):
-        out[:, j] = W.mix(terms ^ W.mix(np.array([j + 1], np.uint64))) >> np.uint64(64 - RATES[j // SUBSETS]) == 0
+        out[:, j] = _drawn(terms, j)
     return out
 
 
+def _drawn(terms: np.ndarray, j: int) -> np.ndarray:
+    return W.mix(terms ^ W.mix(np.array([j + 1], np.uint64))) >> np.uint64(64 - RATES[j // SUBSETS]) == 0
+
+
 def signatures(terms: np.ndarray, drawn: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """The fingerprints of the documents as numbers of 16 bits, 0 for none; `drawn` has the subsets of the lexicon's terms."""
     n = len(offs) - 1
@@ -85,7 +127,11 @@ def signatures(terms: np.ndarray, drawn: np.ndarray, buf: np.ndarray, offs: np.n
     bare = np.ones(n, bool)
     bare[d] = False
     rest = bare[doc]
-    put(WIDTH - 1, all_terms[rest], doc[rest])
+    t, d = all_terms[rest], doc[rest]
+    for j in range(WIDTH - 1 if len(t) else 0):
+        some = np.flatnonzero(_drawn(t, j))
+        put(j, t[some], d[some])
+    put(WIDTH - 1, t, d)
     return out
 
 
@@ -101,6 +147,21 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((a == b).all(1), 1.0, share)
 
 
+def pair_likeness(a: np.ndarray, b: np.ndarray, first: list[str], second: list[str]) -> np.ndarray:
+    """The likeness of texts, row by row, from their fingerprints; by all terms where just one of the two has lexicon terms."""
+    out = likeness(a, b)
+    mixed = np.flatnonzero((a[:, -1] > 0) != (b[:, -1] > 0))
+    if len(mixed):
+        none, drawn = np.zeros(0, np.uint64), np.zeros((0, WIDTH - 1), bool)
+        out[mixed] = likeness(*[_signed([texts[i] for i in mixed], none, drawn) for texts in (first, second)])
+    return out
+
+
+def _signed(texts: list[str], terms: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["t"])
+    return np.concatenate([signatures(terms, drawn, buf, offs) for _, buf, offs in W.slices(batch, "t", 1_000_000)])
+
+
 def text_of(a: np.ndarray) -> list[str]:
     """Fingerprints as hexadecimal text."""
     return [r.tobytes().hex() for r in a.astype(">u2")]
@@ -170,7 +231,7 @@ def compare_edits(docs: DataFrame, low: float = LOW, high: float = HIGH, key: st
         pdf = pdf.sort_values(["tail", "k", "tk"], ascending=[True, False, True], kind="stable", na_position="last")
         n = int((~pdf["tail"]).sum())
         pdf = pdf.iloc[: n + 1]  # of copies of the next bucket's first row one is enough
-        out, fingers = [], []
+        out, fingers, last = [], [], None
         texts = (unpack.decompress(x).decode() for x in pdf["t"])
         this = next(texts)
         for i in range(n + 1):
@@ -179,17 +240,18 @@ def compare_edits(docs: DataFrame, low: float = LOW, high: float = HIGH, key: st
             out.append((len(this), this, this[: len(this) - half] + after[:half]) if i < n else (0, this, ""))
             this = after
             if len(out) == 64 or i == n:
-                found = []
-                for column in (1, 2):
-                    batch = pa.RecordBatch.from_arrays([pa.array([o[column] for o in out], pa.large_string())], ["t"])
-                    found.append(np.concatenate([signatures(terms, drawn, buf, offs) for _, buf, offs in W.slices(batch, "t", 1_000_000)]))
-                fingers.append((*found, [(o[0], hashlib.sha256(o[2].encode()).hexdigest()) for o in out]))
-                out = []
-        own, edited = np.concatenate([f[0] for f in fingers]), np.concatenate([f[1] for f in fingers])[:n]
+                found = [_signed([o[column] for o in out], terms, drawn) for column in (1, 2)]
+                if last is not None:  # the next text of the last one is the first of these
+                    fingers[-1][4].append(pair_likeness(last[0], found[0][:1], [last[1]], [out[0][1]])[0])
+                own, whole = found[0], [o[1] for o in out]
+                fingers.append((*found, [(o[0], hashlib.sha256(o[2].encode()).hexdigest()) for o in out],
+                                pair_likeness(*found, whole, [o[2] for o in out]), list(pair_likeness(own[:-1], own[1:], whole, whole[1:]))))
+                last, out = (own[-1:], whole[-1]), []
+        own, edited, near = (np.concatenate([f[j] for f in fingers])[:n] for j in (0, 1, 3))
         facts = [x for f in fingers for x in f[2]][:n]
         return pd.DataFrame({"k": pdf["k"].iloc[:n].astype("Int64").to_numpy(), "n_chars": [x[0] for x in facts], "edited_sha256": [x[1] for x in facts],
-                             "fingerprint": text_of(own[:n]), "edited_fingerprint": text_of(edited),
-                             "near_edited": likeness(own[:n], edited), "near_next": likeness(own[:n], own[1:])})
+                             "fingerprint": text_of(own), "edited_fingerprint": text_of(edited),
+                             "near_edited": near, "near_next": [x for f in fingers for x in f[4]][:n]})
 
     dealt = rows.mapInArrow(deal, "b int, k bigint, tk bigint, tail boolean, t binary")
     return dealt.groupBy("b").applyInPandas(edit, OUT).withColumnRenamed("k", key)

@@ -1,6 +1,7 @@
 """Exact and near copies and fingerprints against brute force."""
 
 import hashlib
+import random
 import re
 from itertools import combinations
 
@@ -127,6 +128,29 @@ def test_fingerprints(spark):
     assert all(len(f) == 1 for f in finger.values())
 
 
+def test_many_copies_of_one_text(spark):
+    rnd = random.Random(3)
+    rows = [corpora.row(3 * i + j, corpora.words(rnd, 100, 3000)) for i in range(100) for j in (0, 1)]
+    copy = " ".join([rows[0][1], *[f"own{i}" for i in range(100)]])
+    alone = corpora.frame(spark, [*rows, corpora.row(2, copy)])
+    rows += [corpora.row(3 * i + 2, copy) for i in range(100)]
+    docs = corpora.frame(spark, rows)
+    assert (fingerprints.lexicon(docs) == fingerprints.lexicon(alone)).all(), "copies count once"
+    got = {r.doc_id: r for r in fingerprints.compare_edits(docs).collect()}
+    assert min(got[3 * i + 2].near_edited for i in range(100)) > 0.05
+    assert len({got[3 * i + 2].fingerprint for i in range(100)}) == 1
+
+
+def test_texts_without_lexicon_terms_are_compared_by_all_terms(spark):
+    rnd = random.Random(5)
+    rows = [corpora.row(2 * i, corpora.words(rnd, 100, 60)) for i in range(20)]
+    rows += [corpora.row(2 * i + 1, " ".join(f"only{i}x{j}" for j in range(100))) for i in range(20)]
+    rows += [corpora.row(100, " ".join(f"lone{j}" for j in range(100))), corpora.row(99, " ".join(f"lone{j + 10}" for j in range(100)))]
+    got = {r.doc_id: r for r in fingerprints.compare_edits(corpora.frame(spark, rows), low=0.05, high=0.9).collect()}
+    assert min(got[2 * i + 1].near_edited for i in range(20)) > 0
+    assert got[100].near_next > 0.3, "90 of 110 terms are shared"
+
+
 def test_buckets_do_not_change_fingerprints(spark, monkeypatch):
     docs = corpora.frame(spark, corpora.odd_rows())
     one = sorted(map(str, fingerprints.compare_edits(docs, low=0.03, high=0.5).collect()))
