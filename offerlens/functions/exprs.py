@@ -104,28 +104,3 @@ def stratum_position(j: Column, strata: Column, size: Column, drawn: Column) ->
     low = F.floor(j * size / strata)
     high = F.floor((j + 1) * size / strata)
     return (low + F.pmod(drawn, F.greatest(high - low, F.lit(1)))).cast("bigint")
-
-
-def order_number(c: Column, dtype: str, prefix: str = "") -> Column:
-    """A double that never decreases along the order of `c`.
-
-    Texts count by the seven bytes after `prefix`, which all of them must share.
-    """
-    if dtype == "timestamp":
-        return F.unix_micros(c).cast("double")
-    if dtype != "string":
-        return c.cast("double")
-    tail = F.substring(c, len(prefix) + 1, 7)
-    digits = F.substring(F.rpad(F.hex(F.encode(tail, "UTF-8")), 14, "0"), 1, 14)
-    return F.conv(digits, 16, 10).cast("double")
-
-
-def bucket_of(number: Column, cuts: list[float]) -> Column:
-    """How many of the sorted `cuts` lie at or below the number, by binary search in generated code."""
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(number < F.lit(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return search(0, len(cuts))

@@ -2,57 +2,40 @@
 
 from __future__ import annotations
 
-import os
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offerlens.functions.exprs import bucket_of, day_number, micros, order_number
-
+from offerlens.functions.exprs import day_number, micros
+from offerlens.session import materialized
 
-BUCKETS = 128
+_PLACES = 33  # row numbers inside a partition take so many low bits of Spark's increasing ids
 
 
-def order_buckets(df: DataFrame, order: str) -> Column:
-    """A small integer that never decreases along `order`, cutting the rows into buckets of about equal size.
+def numbered(df: DataFrame, name: str, order: str | list[str], group: list[str] | None = None, with_size: str | None = None,
+             with_first: str | None = None) -> DataFrame:
+    """Add 0-based positions in `order` within each group (the whole table without one); nulls come first.
 
-    The cuts are approximate quantiles taken once to the driver, so clustered ids and outliers spread as well as dense
-    ids do; being literals, they are the same in every evaluation.  Rows with equal seven-byte text prefixes share a
-    bucket.
-    """
-    dtype, column, prefix = dict(df.dtypes)[order], F.col(order), ""
-    if dtype == "string":
-        ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
-        if ends["lo"] is not None:
-            prefix = os.path.commonprefix([ends["lo"], ends["hi"]])
-    number = order_number(column, dtype, prefix)
-    places = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    cuts = df.agg(F.percentile_approx(number, places, 1000).alias("cuts")).first()["cuts"]
-    return bucket_of(number, sorted(set(cuts or [])))
-
-
-def numbered(df: DataFrame, name: str, order: str, group: list[str] | None = None, with_size: str | None = None,
-             ) -> DataFrame:
-    """Add 0-based positions in `order` within each group (the whole table without one).
-
-    Rows are numbered inside order-preserving buckets and shifted by the rows of the earlier buckets, so no task sees
-    more than one bucket of one group.  `order` must be unique within a group for a stable result.
+    The rows are cut into sorted ranges by Spark and written once; the rows of a group in the ranges before are added to a
+    row's place in its own range.  What is shifted is one row for each range and group in it, so no task sees more than a
+    range, whatever the size of a group.  `order` must be unique within a group for a stable result, and ranges can't part
+    equal keys.  `with_size` names a column for the rows of the group, `with_first` one for a number of the group: unique
+    and rising in the order of the groups.
     """
     group = group or []
-    tagged = df.withColumn("_bucket", order_buckets(df, order))
-    keys = [*group, "_bucket"]
-    sizes = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"),
-                          F.sum("_n").over(Window.partitionBy(*group)).alias("_size"))
-    inside = Window.partitionBy(*keys).orderBy(order)
-    tagged = tagged.withColumn("_rn", F.row_number().over(inside))
-    on = [tagged[k].eqNullSafe(shifts[k]) for k in keys]
-    joined = tagged.join(shifts, on, "left")
-    out = joined.select(*[tagged[c] for c in df.columns], (F.col("_rn") - 1 + F.col("_shift")).cast("bigint").alias(name),
-                        F.col("_size").cast("bigint").alias("_size"))
-    return out.withColumnRenamed("_size", with_size) if with_size else out.drop("_size")
+    keys = [*group, *([order] if isinstance(order, str) else order)]
+    ranges = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    rows = materialized(ranges).withColumn("_range", F.shiftright("_id", _PLACES))
+    held = rows.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_at"))
+    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    held = materialized(held.select(*group, "_range", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"),
+                                    F.sum("_n").over(whole).alias("_size"), F.min("_at").over(whole).alias("_first")))
+    joined = rows.join(held, [rows[k].eqNullSafe(held[k]) for k in [*group, "_range"]])
+    extra = [F.col(c).cast("bigint").alias(n) for c, n in (("_size", with_size), ("_first", with_first)) if n]
+    return joined.select(*[rows[c] for c in df.columns], (F.col("_id") - F.col("_at") + F.col("_shift")).cast("bigint").alias(name), *extra)
 
 
 def day_histogram(df: DataFrame, ts: str) -> list[tuple[int, int, int, int]]:
@@ -125,49 +108,60 @@ def middle_of_counts(counts: DataFrame, keys: list[str], value: str, name: str,
     return placed.groupBy(*keys).agg(((at(lower_rank) + at(upper_rank)) / 2.0).alias(name))
 
 
-def column_medians(df: DataFrame, columns: list[str], accuracy: int = 10_000,
-                   rank_at_once: int = 2_000_000) -> dict[str, float | None]:
-    """Exact medians of many numeric columns of one table (None for a column without values).
+def _ordered_keys(values: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers in the order of the doubles; both zeros are one value."""
+    bits = (values + 0.0).view(np.int64)
+    return np.where(bits < 0, ~bits, bits ^ np.int64(-(1 << 63))).view(np.uint64)
+
 
-    Approximate quantiles bracket each median within a sliver of the ranks.  While a bracket holds more than
-    `rank_at_once` rows it is narrowed again among its own rows; then the distinct values inside it are ranked.  The
-    driver receives a few numbers per column.
+def _value_of(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else ~key & ((1 << 64) - 1)
+    return float(np.uint64(bits).view(np.float64))
+
+
+def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Exact medians of many numeric columns of one table (None for a column without values; null and NaN don't count).
+
+    Radix select: doubles become 64-bit keys in the same order, and four passes count the next 16 bits of the keys that share
+    the bits found so far, for all columns and both middle ranks at once.  A pass sends 65,536 counts a rank and task at most,
+    so neither the rows nor repeats of a value make a step larger.  The driver receives a few numbers for each column.
     """
-    values = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
-    sizes = df.agg(*[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    n = {c: sizes[f"n{i}"] for i, c in enumerate(columns)}
-    out: dict[str, float | None] = {c: None for c in columns}
-    brackets = {c: (float("-inf"), float("inf"), 0, n[c]) for c in columns if n[c]}
-    narrowed: dict[str, int] = dict.fromkeys(brackets, 0)
-    while True:
-        wide = [c for c, (_, _, _, inside) in brackets.items() if inside > rank_at_once and narrowed[c] < 4]
-        if not wide:
-            break
-        asked = []
-        for i, c in enumerate(wide):
-            lo, hi, below, inside = brackets[c]
-            at = ((n[c] + 1) / 2 - below) / inside
-            ends = F.array(F.lit(max(0.0, at - 4.0 / accuracy)), F.lit(min(1.0, at + 4.0 / accuracy)))
-            asked.append(F.percentile_approx(F.when(values[c].between(lo, hi), values[c]), ends, accuracy).alias(f"b{i}"))
-        ends = df.agg(*asked).first()
-        held = df.agg(*[a for i, c in enumerate(wide) for a in (
-            F.count(F.when(values[c] < ends[f"b{i}"][0], 1)).alias(f"l{i}"),
-            F.count(F.when(values[c].between(*ends[f"b{i}"]), 1)).alias(f"m{i}"))]).first()
-        for i, c in enumerate(wide):
-            narrowed[c] += 1
-            below, inside = held[f"l{i}"], held[f"m{i}"]
-            # A bracket that missed a middle rank is dropped and the wider one kept.
-            if below < (n[c] + 1) // 2 and below + inside >= n[c] // 2 + 1:
-                brackets[c] = (*ends[f"b{i}"], below, inside)
-    live = list(brackets)
-    if not live:
-        return out
-    cells = F.array(*[F.when(values[c].between(brackets[c][0], brackets[c][1]), F.struct(
-        F.lit(i).alias("i"), values[c].alias("v"))) for i, c in enumerate(live)])
-    counts = (df.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x"))
-              .groupBy(F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("_n")))
-    below = F.element_at(F.array(*[F.lit(brackets[c][2]) for c in live]), F.col("i") + 1)
-    total = F.element_at(F.array(*[F.lit(n[c]) for c in live]), F.col("i") + 1)
-    for r in middle_of_counts(counts, ["i"], "v", "m", below, total).collect():
-        out[live[r["i"]]] = r["m"]
-    return out
+    if not columns:
+        return {}
+    table = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
+    sizes = table.agg(*[F.count(c).alias(c) for c in table.columns]).first()
+    ranks = {(i, half): r for i in range(len(columns)) if sizes[i] for half, r in ((0, (sizes[i] - 1) // 2), (1, sizes[i] // 2))}
+    prefix = dict.fromkeys(ranks, 0)
+    for step in range(4 if ranks else 0):
+        shift = 48 - 16 * step
+        wanted: dict[int, list[int]] = {}
+        for (i, _), p in prefix.items():
+            wanted.setdefault(i, [])
+            if p not in wanted[i]:
+                wanted[i].append(p)
+
+        def counted(batches, wanted=wanted, shift=shift):
+            total: dict[tuple[int, int], np.ndarray] = {}
+            for b in batches:
+                for i, prefixes in wanted.items():
+                    keys = _ordered_keys(b.column(i).drop_null().to_numpy(zero_copy_only=False).astype(np.float64))
+                    for p in prefixes:
+                        own = keys if shift == 48 else keys[keys >> np.uint64(shift + 16) == np.uint64(p)]
+                        n = np.bincount((own >> np.uint64(shift)).astype(np.int64) & 0xFFFF, minlength=1 << 16)
+                        total[i, p] = total.get((i, p), 0) + n
+            for (i, p), n in total.items():
+                digits = np.flatnonzero(n)
+                yield pa.RecordBatch.from_pydict({"i": pa.array(np.full(len(digits), i, np.int32)), "p": pa.array(np.full(len(digits), p, np.uint64).view(np.int64)),
+                                                  "d": pa.array(digits.astype(np.int32)), "n": pa.array(n[digits].astype(np.int64))})
+
+        counts = table.mapInArrow(counted, "i int, p bigint, d int, n bigint").groupBy("i", "p", "d").agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("i", "p").orderBy("d").rowsBetween(Window.unboundedPreceding, 0))
+        asked = df.sparkSession.createDataFrame([(i, half, int(np.uint64(prefix[i, half]).view(np.int64)), r) for (i, half), r in ranks.items()],
+                                                "i int, half int, p bigint, r bigint")
+        found = (counts.withColumn("upto", upto).join(asked, ["i", "p"]).filter("upto > r and upto - n <= r")
+                 .select("i", "half", "d", (F.col("r") - F.col("upto") + F.col("n")).alias("r")).collect())
+        for f in found:
+            prefix[f.i, f.half] = prefix[f.i, f.half] << 16 | f.d
+            ranks[f.i, f.half] = f.r
+    value = {at: _value_of(p) for at, p in prefix.items()}
+    return {c: (value[i, 0] + value[i, 1]) / 2.0 if (i, 0) in value else None for i, c in enumerate(columns)}

@@ -40,10 +40,35 @@ def test_medians_are_exact(make, n):
 
 
 @pytest.mark.parametrize("n", [100_001, 100_000])
-def test_median_with_narrowed_brackets(spark, n):
+def test_median_of_shuffled_and_repeated_values(spark, n):
     df = spark.range(n).selectExpr("cast(id * 7919 % 100003 as double) as v", "cast(id % 2 as double) as w", "cast(null as double) as z")
     want = {"v": statistics.median(i * 7919 % 100_003 for i in range(n)), "w": statistics.median(i % 2 for i in range(n)), "z": None}
-    assert column_medians(df, ["v", "w", "z"], accuracy=200, rank_at_once=50) == want
+    assert column_medians(df, ["v", "w", "z"]) == want
+
+
+def test_median_of_ten_million_equal_values(spark):
+    df = spark.range(10_000_000).selectExpr("0.1 as v", "case when id < 3 then -1e300 when id % 2 = 0 then -0.25 else 1e-310 end as w")
+    assert column_medians(df, ["v", "w"]) == {"v": 0.1, "w": -0.25}
+
+
+def test_median_of_signs_zeros_and_extremes(make):
+    values = [-float("inf"), -1e308, -2.5, -0.0, 0.0, 5e-324, 3.0, float("inf"), float("nan"), None]
+    finite = [v for v in values if v is not None and v == v]
+    assert column_medians(make([(v,) for v in values], "v double"), ["v"]) == {"v": statistics.median(finite)}
+
+
+def test_a_group_with_most_rows_is_numbered_in_many_ranges(spark):
+    df = spark.range(20_000).selectExpr("case when id % 3 > 0 then null else cast(id % 5 as string) end as g", "id * 7919 % 20011 as v").repartition(6)
+    rows = numbered(df, "pos", "v", ["g"], "size", "first").collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.g, []).append(r)
+    assert len(rows) == 20_000
+    for own in groups.values():
+        own.sort(key=lambda r: r.v)
+        assert [r.pos for r in own] == list(range(len(own))) and {r.size for r in own} == {len(own)} and len({r["first"] for r in own}) == 1
+    firsts = {g: own[0]["first"] for g, own in groups.items()}
+    assert [g for g, _ in sorted(firsts.items(), key=lambda x: x[1])] == [None, *sorted(g for g in firsts if g is not None)]
 
 
 def test_positions_of_clustered_ids_and_common_prefixes(make):
