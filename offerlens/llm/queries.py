@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlens.llm import bpe, exact_dedup, fingerprints, mixing, near_dup, ngram_lm, quality, sharding, token_counts, toxicity
+from offerlens.llm import bpe, exact_dedup, fingerprints, merkle, mixing, near_dup, ngram_lm, quality, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op9(spark, folder):
 @query("op10_token_counts")
 def op10(spark, folder):
     return token_counts.suffix_sums(token_counts.length_histogram(table(spark, folder, "documents")))
+
+
+@query("op12_merkle_manifest", merkle.SQL)
+def op12(spark, folder):
+    return merkle.verify(merkle.manifest(table(spark, folder, "documents")))
