@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlens.llm import bpe, exact_dedup, fingerprints, merkle, mixing, near_dup, ngram_lm, quality, sharding, token_counts, toxicity
+from offerlens.llm import bpe, exact_dedup, fingerprints, main_text, merkle, mixing, near_dup, ngram_lm, quality, sharding, token_counts, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,13 @@ def op10(spark, folder):
 @query("op12_merkle_manifest", merkle.SQL)
 def op12(spark, folder):
     return merkle.verify(merkle.manifest(table(spark, folder, "documents")))
+
+
+@query("op11_vector_codes", vector_codes.SQL)
+def op11(spark, folder):
+    return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
+@query("op13_main_text")
+def op13(spark, folder):
+    return main_text.extract(table(spark, folder, "pages"))
