@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.window import Window
 
 from offerlens.functions import exprs as X
 from offerlens.functions.constants import (
@@ -101,7 +104,7 @@ def hard_negatives(positives: DataFrame, items: DataFrame, bought: DataFrame, n:
     short, so that most events meet the items of their genre alone.
     """
     events, lists = _asking(positives, items)
-    return _by_level(events.withColumn("need", F.lit(n)), lists, bought, dict(items.dtypes)["item_id"], n, seed)
+    return _negatives(_by_level(events.withColumn("need", F.lit(n)), lists, bought, dict(items.dtypes)["item_id"], seed, n))
 
 
 def _asking(positives: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,77 +119,101 @@ def _asking(positives: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFram
     return events, lists
 
 
-def _eligible(events: DataFrame, lists: DataFrame, bought: DataFrame) -> DataFrame:
-    """The items of each event's lists (`level`, `key`) that it may get."""
-    return events.join(lists, ["level", "key", "_day"]).filter(
-        S.available_at(F.col("ts"), F.col("disp_from"), F.col("disp_end"))).join(
-        bought.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-
-
-def _by_level(events: DataFrame, lists: DataFrame, bought: DataFrame, item_type: str, n: int, seed: int) -> DataFrame:
-    """The `need` best items of each event, level by level: a level is opened for the events still short."""
+def _by_level(events: DataFrame, lists: DataFrame, bought: DataFrame, item_type: str, seed: int, most: int | None = None) -> DataFrame:
+    """The `need` best items of each event in order (level, place, item), level by level: a level is opened for the events still
+    short.  `most` is a number that no `need` exceeds, where there is a small one: tasks then keep that many rows of an event."""
     chosen = None
     for level, key in enumerate((F.col("genre_name"), F.col("price_band").cast("string"), F.lit("all"))):
-        short = events
+        short = events.withColumn("_left", F.col("need"))
         if chosen is not None:
             have = chosen.groupBy("positive_event_id").agg(F.count(F.lit(1)).alias("_have"))
             short = events.join(have, "positive_event_id", "left").withColumn(
-                "need", F.col("need") - F.coalesce("_have", F.lit(0))).filter("need > 0").drop("_have")
-        found = _eligible(short.withColumns({"level": F.lit(level), "key": key}), lists, bought)
+                "_left", F.col("need") - F.coalesce("_have", F.lit(0))).filter("_left > 0").drop("_have")
+        found = short.withColumns({"level": F.lit(level), "key": key}).join(lists, ["level", "key", "_day"]).filter(
+            S.available_at(F.col("ts"), F.col("disp_from"), F.col("disp_end"))).join(
+            bought.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
         if chosen is not None:
             found = found.join(chosen.select("positive_event_id", "item_id"), ["positive_event_id", "item_id"], "left_anti")
-        best = _nearest(found, item_type, n, seed)
+        best = _nearest(found, level, item_type, seed, most)
         chosen = materialized(best if chosen is None else chosen.unionByName(best))
+        # Most often the levels below have nothing left to do, which one count of narrow rows tells.
+        if level < 2:
+            got = chosen.groupBy("positive_event_id").agg(F.count(F.lit(1)).alias("_have"))
+            if events.join(got, "positive_event_id", "left").filter(F.col("need") > F.coalesce("_have", F.lit(0))).isEmpty():
+                break
     return chosen
 
 
-def _beyond(events: DataFrame, lists: DataFrame, bought: DataFrame, held: DataFrame, item_type: str, n: int, seed: int) -> DataFrame:
-    """The `need` best items of each of a few events among those that neither it nor an earlier event of the user holds."""
-    asked = events.withColumn("_class", F.explode(_classes("genre_name", "price_band"))).select("*", "_class.level", "_class.key").drop("_class")
-    h = held.select(F.col("user_id").alias("_u"), F.col("item_id").alias("_i"), F.col("positive_event_id").alias("_e"))
-    free = _eligible(asked, lists, bought).join(h, (F.col("user_id") == F.col("_u")) & (F.col("item_id") == F.col("_i"))
-                                                & (F.col("_e") <= F.col("positive_event_id")), "left_anti")
-    # An item of several of the event's classes counts in the nearest.
-    first = free.groupBy("positive_event_id", "item_id").agg(F.min("level").alias("level"))
-    return _nearest(free.join(first, ["positive_event_id", "item_id", "level"]), item_type, n, seed)
+def _nearest(allowed: DataFrame, level: int, item_type: str, seed: int, most: int | None) -> DataFrame:
+    """The wanted number of candidates per event: the nearest, at the last level random ones."""
+    chance = X.draw([F.col("positive_event_id"), X.as_number(F.col("item_id"), item_type)], seed + 7)
+    placed = allowed.withColumn("_place", item_distance("c_", "p_") if level < 2 else chance.cast("double"))
+    place = F.row_number().over(Window.partitionBy("positive_event_id").orderBy("_place", "item_id"))
+    ranked = placed.withColumn("_rank", place)
+    ranked = ranked.filter(F.col("_rank") <= most) if most is not None else ranked
+    return ranked.filter(F.col("_rank") <= F.col("_left")).select(
+        "user_id", "item_id", "positive_event_id", "reference_item_id", "need", F.lit(level).alias("_level"), "_rank")
 
 
-def _nearest(allowed: DataFrame, item_type: str, n: int, seed: int) -> DataFrame:
-    """The wanted number of candidates per event: lowest level first, then the nearest, at the last level random ones."""
-    chance = X.draw([F.col("positive_event_id"), X.as_number(F.col("item_id"), item_type)], seed + 7)
-    place = F.when(F.col("level") < 2, item_distance("c_", "p_")).otherwise(chance.cast("double"))
-    kept = first_n(allowed.withColumn("_place", place), ["positive_event_id"], [F.col("level"), F.col("_place"), F.col("item_id")], n)
-    source = F.element_at(F.array(*[F.lit(s) for s in LEVELS]), F.col("level") + 1)
-    return kept.filter(F.col("rank") <= F.col("need")).select(
-        "user_id", "item_id", F.lit(0).alias("label"), "positive_event_id", "reference_item_id", source.alias("negative_source"))
+def _negatives(chosen: DataFrame) -> DataFrame:
+    source = F.element_at(F.array(*[F.lit(s) for s in LEVELS]), F.col("_level") + 1)
+    return chosen.select("user_id", "item_id", F.lit(0).alias("label"), "positive_event_id", "reference_item_id", source.alias("negative_source"))
+
+
+def _settled(lists: DataFrame, n: int) -> DataFrame:
+    """The lists with `_kept`: a user's events in order, each with the first n items of its list that no earlier one took.
+
+    The rows of a user are one sorted run of a task and are walked as a stream; what is kept in memory is the set of items the user
+    holds, never the run, so that a user with very many events costs time along its own rows only.
+    """
+    def walk(batches):
+        user = event = None
+        held: set = set()
+        got = 0
+        for b in batches:
+            kept = []
+            for u, e, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if u != user:
+                    user, event, held = u, None, set()
+                if e != event:
+                    event, got = e, 0
+                free = got < n and i not in held
+                if free:
+                    held.add(i)
+                    got += 1
+                kept.append(free)
+            yield b.append_column("_kept", pa.array(kept, pa.bool_()))
+
+    columns = ["user_id", "positive_event_id", "item_id", "reference_item_id", "need", "_level", "_rank"]
+    run = lists.select(*columns).repartition("user_id").sortWithinPartitions("user_id", "positive_event_id", "_level", "_rank")
+    return run.mapInArrow(walk, StructType([*run.schema, StructField("_kept", BooleanType())]))
 
 
 def exclusive_hard_negatives(positives: DataFrame, items: DataFrame, bought: DataFrame, n: int = NEGATIVES_PER_EVENT,
                              seed: int = 42) -> DataFrame:
     """hard_negatives where an item serves a user only once: a user's earlier events (by id) choose first.
 
-    Events ask in rounds and at once.  An item that several events of a user ask for goes to the earliest, also where a
-    later one held it; those left short ask for their next best, until none gets more.  As all items rank events in one order, this
-    ends with the choice that walking the events one by one gives, without a walk over one user's events in one task.
+    Two steps, whatever the number of events.  First every event brings its n best items and each user's events are settled
+    in order.  An event that others left short needs a longer list; the events before a user's first such event are final.
+    From there on the p-th event brings its p * n best items that the final ones don't hold: the p - 1 events
+    before it can take no more than (p - 1) * n of them, so this settles all.
     """
     events, lists = _asking(positives, items)
     events, item_type = materialized(events), dict(items.dtypes)["item_id"]
-    held, need = None, events.withColumn("need", F.lit(n))
-    while True:
-        if held is None:
-            asked = _by_level(need, lists, bought, item_type, n, seed)
-        else:
-            asked = materialized(_beyond(need, lists, bought, held, item_type, n, seed))
-            if asked.isEmpty():
-                return held
-        every = asked if held is None else held.unionByName(asked)
-        first = every.groupBy("user_id", "item_id").agg(F.min(F.struct(
-            "positive_event_id", "reference_item_id", "negative_source")).alias("f"))
-        held = materialized(first.select("user_id", "item_id", F.lit(0).alias("label"), "f.positive_event_id",
-                                         "f.reference_item_id", "f.negative_source"))
-        have = held.groupBy("positive_event_id").agg(F.count(F.lit(1)).alias("_have"))
-        need = materialized(events.join(have, "positive_event_id", "left").withColumn(
-            "need", F.lit(n) - F.coalesce("_have", F.lit(0)).cast("int")).filter("need > 0").drop("_have"))
+    first = materialized(_settled(_by_level(events.withColumn("need", F.lit(n).cast("bigint")), lists, bought, item_type, seed, n), n))
+    state = first.groupBy("user_id", "positive_event_id").agg(F.count_if("_kept").alias("got"), F.count(F.lit(1)).alias("asked"))
+    # A list shorter than n was all there is.
+    open_from = materialized(state.filter((F.col("got") < n) & (F.col("asked") >= n)).groupBy("user_id").agg(
+        F.min("positive_event_id").alias("_from")))
+    final = first.filter("_kept")
+    if open_from.isEmpty():
+        return _negatives(final)
+    final = materialized(final.join(open_from, "user_id", "left").filter("_from is null or positive_event_id < _from").drop("_from", "_kept"))
+    again = events.join(open_from, "user_id").filter("positive_event_id >= _from").drop("_from")
+    again = numbered(again, "_turn", "positive_event_id", ["user_id"]).withColumn("need", (F.col("_turn") + 1) * n).drop("_turn")
+    taken = bought.select("user_id", "item_id").unionByName(final.join(open_from, "user_id", "left_semi").select("user_id", "item_id"))
+    rest = _settled(_by_level(again, lists, taken, item_type, seed), n).filter("_kept").drop("_kept")
+    return _negatives(materialized(final.unionByName(rest.select(*final.columns))))
 
 
 def positive_pairs(purchases: DataFrame) -> DataFrame:
@@ -209,8 +236,8 @@ def refit_pairs(all_purchases: DataFrame, kept_negatives: DataFrame, new_purchas
 def negative_mix(negatives: DataFrame) -> DataFrame:
     """Rows and share of the negatives by source, with the share that is not random."""
     by_source = negatives.groupBy("negative_source").agg(F.count(F.lit(1)).alias("rows"))
-    total = by_source.agg(F.sum("rows").alias("n")).scalar()
-    hard = by_source.agg(F.sum(F.when(F.col("negative_source") != SOURCE_RANDOM, F.col("rows")).otherwise(0))
-                         .alias("n")).scalar()
-    return by_source.select("negative_source", "rows", (F.col("rows") / total).alias("share"),
-                            (hard / total).alias("hard_share"))
+    # A handful of counts: what is shared is a window over these, and the negatives are read once.
+    all_rows = Window.partitionBy(F.lit(1))
+    hard = F.sum(F.when(F.col("negative_source") != SOURCE_RANDOM, F.col("rows")).otherwise(0)).over(all_rows)
+    total = F.sum("rows").over(all_rows)
+    return by_source.select("negative_source", "rows", (F.col("rows") / total).alias("share"), (hard / total).alias("hard_share"))

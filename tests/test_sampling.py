@@ -99,6 +99,35 @@ def test_exclusive_negatives_equal_a_walk(shop):
     assert sorted(map(tuple, again)) == sorted(map(tuple, out))
 
 
+def test_five_hundred_like_events_of_one_user_take_no_more_jobs(make, spark):
+    day = datetime(2024, 1, 5)
+    rows = [(i, "A" if i < 900 else "B", 3.0 + i / 1000, 10.0, 5, None, None) for i in range(1200)]
+    items = make(rows, "item_id int, genre_name string, log_discount_price double, price_rate double, valid_period int, "
+                       "disp_from timestamp, disp_end timestamp")
+    index = N.sampling_index(items)
+
+    def run(count):
+        bought = make([(e, 1, 0, day) for e in range(count)] + [(1000 + e, 2 + e % 3, e, day) for e in range(9)],
+                      "positive_event_id int, user_id int, item_id int, ts timestamp")
+        spark.sparkContext.setJobGroup(f"like{count}", "")
+        out = N.exclusive_hard_negatives(bought, index, bought.select("user_id", "item_id").distinct(), n=2).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"like{count}"))
+        spark.sparkContext.setJobGroup("after", "")
+        return out, jobs
+
+    few, few_jobs = run(5)
+    many, many_jobs = run(500)
+    assert many_jobs <= few_jobs + 3
+    # Item 0 is the user's own; the events take the next nearest two by two, 899 of the genre, then others of the band.
+    by_event = {}
+    for r in many:
+        if r.user_id == 1:
+            by_event.setdefault(r.positive_event_id, []).append(r.item_id)
+    assert [sorted(by_event[e]) for e in range(449)] == [[2 * e + 1, 2 * e + 2] for e in range(449)]
+    assert len({i for own in by_event.values() for i in own}) == 1000 and all(len(own) == 2 for own in by_event.values())
+    assert [r for r in sorted(map(tuple, few)) if r[0] > 1] == [r for r in sorted(map(tuple, many)) if r[0] > 1]
+
+
 def test_weekly_pairs(make):
     grid = S.WeekGrid(START, START + 2 * S.WEEK_US, START + 3 * S.WEEK_US)
     items = make([(i, D0 + timedelta(days=i % 9), D0 + timedelta(days=i % 9 + 6)) for i in range(120)],
