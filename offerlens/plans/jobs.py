@@ -151,7 +151,7 @@ def event_run(w: World, kinds: tuple[str, ...] = M.KINDS, rounds: int = 500, rep
 
     tuning_truth, tuning, _ = pool_frame("early_stop", bounds.tuning_start, bounds.holdout_start, 42)
     truth, holdout, past = pool_frame("holdout", bounds.holdout_start, bounds.last, 43)
-    rankers = {k: M.fit_ranker(k, frame, tuning, tuning_truth, iterations=None if k == "boosted" else 50, rounds=rounds)
+    rankers = {k: M.fit_ranker(k, frame, tuning, tuning_truth, iterations=None if k in M.LOSSES else 50, rounds=rounds)
                for k in kinds}
     sold = past.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_purchases"))
     scored = holdout.join(sold, "item_id", "left").select("user_id", "item_id", F.inline(F.array(

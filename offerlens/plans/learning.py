@@ -152,9 +152,9 @@ def factorization_top10(spark, sf):
 
 
 def fitted(spark, sf, kind: str):
-    """A ranker with the rounds of a full run; the boosted one takes its number of trees from the tuning pool."""
+    """A ranker with the rounds of a full run; the boosted ones take their number of trees from the tuning pool."""
     w, frame = training_frame(spark, sf)
-    if kind != "boosted":
+    if kind not in M.LOSSES:
         return w, frame, M.fit_ranker(kind, frame)
     e = evaluation(w, "early_stop")
     return w, frame, M.fit_ranker(kind, frame, e.frame, e.truth)
@@ -169,7 +169,7 @@ def _ranker_query(kind: str):
     return run
 
 
-boosted_ranker_ap, pairwise_ranker_ap, forest_ranker_ap = (_ranker_query(k) for k in M.KINDS)
+boosted_ranker_ap, lambda_ranker_ap, pairwise_ranker_ap, forest_ranker_ap = (_ranker_query(k) for k in M.KINDS)
 
 
 @query("tuned_tree_count")
