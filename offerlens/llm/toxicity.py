@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from offerlens.llm import labelled
 from offerlens.llm import words as W
+from offerlens.session import materialized
 
 BUCKETS, DIM, SIZES, WINDOW = 1 << 17, 8, (3, 4, 5), 4
 ONES, ZEROS, EPOCHS, BATCH = 1500, 2500, 6, 1024
+CHUNK, HELD = 2048, 1 << 16  # windows in a row of the sample, and held at once while learning
 
 _PART = np.zeros(256, np.uint8)  # bytes of words; all others are the mark between words
 for _b in (*range(97, 123), *range(48, 58), *range(128, 256)):
@@ -80,42 +82,62 @@ def window_logits(value: np.ndarray, bias: float, buf: np.ndarray, offs: np.ndar
     return out[0], out[1]
 
 
-def bags(buf: np.ndarray, offs: np.ndarray) -> list[list[np.ndarray]]:
-    """The bags of subwords of all windows of each document."""
-    grams, windows, first, n = subwords(buf, offs)
-    edges = np.append(windows, n)
-    return [[np.concatenate([bucket[edges[w]: edges[w + 1]][valid[edges[w]: edges[w + 1]]] for bucket, valid in grams]) for w in range(a, b)]
-            for a, b in zip(first[:-1], first[1:], strict=True)]
+def bags(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of all windows one behind the other, how many each window has, and the first window of each document."""
+    grams, windows, first, _ = subwords(buf, offs)
+    places = [np.flatnonzero(valid) for _, valid in grams]
+    window = np.concatenate([np.searchsorted(windows, at, "right") - 1 for at in places])
+    ids = np.concatenate([bucket[at] for (bucket, _), at in zip(grams, places, strict=True)])
+    order = np.argsort(window, kind="stable")
+    return ids[order], np.bincount(window, minlength=len(windows)), first
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of several runs, one behind the other."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
 
 class Softmax:
     """Subword vectors and a two-class softmax over their average; `value` and `bias` are the difference of the logits."""
 
-    def __init__(self, windows: list[np.ndarray], y: np.ndarray, seed: int = 9):
-        rng = np.random.default_rng(seed)
-        vectors, weights, bias = rng.normal(0, 0.05, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
-        state = [np.full(p.shape, 1e-8) for p in (vectors, weights, bias)]
-        lengths = np.array([len(w) for w in windows], np.int64)
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(windows))
-            for at in range(0, len(order), BATCH):
-                some = [i for i in order[at: at + BATCH] if lengths[i]]
-                if not some:
-                    continue
-                ids, n = np.concatenate([windows[i] for i in some]), lengths[some]
-                heads = np.append(0, np.cumsum(n)[:-1])
-                mean = np.add.reduceat(vectors[ids], heads, axis=0) / n[:, None]
-                z = mean @ weights + bias
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                e = (p - np.stack([1 - y[some], y[some]], 1)) / len(some)
-                back = np.repeat((e @ weights.T) / n[:, None], n, axis=0)
-                dv = np.stack([np.bincount(ids, back[:, k], BUCKETS) for k in range(DIM)], 1)
-                for p_, g, s, rate in zip((vectors, weights, bias), (dv, mean.T @ e, e.sum(0)), state, (0.3, 0.1, 0.1), strict=True):
-                    s += g * g
-                    p_ -= rate * g / np.sqrt(s)
-        self.value = (vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32)
-        self.bias = float(bias[1] - bias[0])
+    def __init__(self, seed: int = 9):
+        self.rng = np.random.default_rng(seed)
+        self.vectors = self.rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
+        self.weights, self.offset = self.rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
+        self.seen = [np.full(p.shape, 1e-8, np.float32) for p in (self.vectors, self.weights, self.offset)]
+
+    def learn(self, ids: np.ndarray, counts: np.ndarray, y: np.ndarray) -> None:
+        """A pass over windows in random order: their buckets one behind the other, how many each has, their labels."""
+        starts = np.cumsum(counts) - counts
+        order = self.rng.permutation(np.flatnonzero(counts))
+        for at in range(0, len(order), BATCH):
+            some = order[at: at + BATCH]
+            n = counts[some]
+            own, inside = np.unique(ids[ranges(starts[some], n)], return_inverse=True)  # only vectors of the batch are touched
+            v = self.vectors[own]
+            heads = np.cumsum(n) - n
+            mean = np.add.reduceat(v[inside], heads, axis=0) / n[:, None].astype(np.float32)
+            z = mean @ self.weights + self.offset
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            e = ((p - np.stack([1 - y[some], y[some]], 1)) / len(some)).astype(np.float32)
+            back = np.repeat((e @ self.weights.T) / n[:, None].astype(np.float32), n, axis=0)
+            dv = np.stack([np.bincount(inside, back[:, k], len(own)) for k in range(DIM)], 1).astype(np.float32)
+            dw, db = mean.T @ e, e.sum(0)
+            seen = self.seen[0][own] + dv * dv
+            self.seen[0][own] = seen
+            self.vectors[own] = v - 0.3 * dv / np.sqrt(seen)
+            for p_, g, s, rate in ((self.weights, dw, self.seen[1], 0.1), (self.offset, db, self.seen[2], 0.1)):
+                s += g * g
+                p_ -= rate * g / np.sqrt(s)
+
+    @property
+    def value(self) -> np.ndarray:
+        return (self.vectors @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float32)
+
+    @property
+    def bias(self) -> float:
+        return float(self.offset[1] - self.offset[0])
 
 
 def regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -174,7 +196,11 @@ def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def learnt(docs: DataFrame, labels: DataFrame, label: str, ones: int, zeros: int, key: str, text: str) -> tuple[np.ndarray, float, np.ndarray]:
-    """From a bounded sample of labelled documents: a value for each bucket, the bias, and the document weights (max, mean, intercept)."""
+    """From a bounded sample of labelled documents: a value for each bucket, the bias, and the document weights (max, mean, intercept).
+
+    The driver sees the windows of the sample as a stream of rows of `CHUNK` windows at most and holds about `HELD` windows at a time,
+    however long the texts are.
+    """
     source = _source(docs, key, text)
     # The sample is chosen among keys; their texts are then read by a filter that holds the sampled keys only.
     table = labelled.label_table(labels, label).join(source.select("k").distinct(), "k", "left_semi")
@@ -183,23 +209,39 @@ def learnt(docs: DataFrame, labels: DataFrame, label: str, ones: int, zeros: int
     apart = {r.k: r.y for i, r in enumerate(chosen) if i % 4 == 0}
     learn = {r.k: r.y for i, r in enumerate(chosen) if i % 4 or len(chosen) < 40}
 
-    def read(keys: dict[int, float], run, schema: str) -> pa.Table:
+    def texts(keys: dict[int, float]) -> DataFrame:
+        """One text for each key: of several the one with the least hash."""
         picked = source.filter(F.col("k").isin(list(keys))) if keys else source.limit(0)
-        return picked.mapInArrow(run, schema).dropDuplicates(["k"]).orderBy(F.xxhash64("k", F.lit(13)), "k").toArrow()
+        return picked.groupBy("k").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("x")).select("k", "x.t")
 
     def bagged(batches):
         for batch in batches:
             for rows, buf, offs in W.slices(batch, "t", 1_000_000):
-                found = bags(buf, offs)
-                yield pa.RecordBatch.from_arrays([rows.column("k"), pa.array([np.concatenate([np.zeros(0, np.int32), *d]).tobytes() for d in found], pa.binary()),
-                                                  pa.array([[len(w) for w in d] for d in found], pa.list_(pa.int32()))], ["k", "w", "n"])
-
-    got = read(learn, bagged, "k bigint, w binary, n array<int>")
-    # Views of what came, without a copy.
-    cut = [np.split(np.frombuffer(w.as_buffer(), np.int32), np.cumsum(n.as_py())[:-1]) if len(n) else [] for w, n in zip(got["w"], got["n"], strict=True)]
-    model = Softmax([w for d in cut for w in d], np.repeat([learn[k] for k in got["k"].to_pylist()], [len(d) for d in cut]))
-    del got, cut
+                ids, counts, first = bags(buf, offs)
+                ends = np.append(0, np.cumsum(counts))
+                for k, a, b in zip(rows.column("k").to_pylist(), first[:-1], first[1:], strict=True):
+                    for at in range(a, b, CHUNK):
+                        to = min(b, at + CHUNK)
+                        yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "c": pa.array([at - a], pa.int64()),
+                                                          "w": [ids[ends[at]: ends[to]].tobytes()], "n": [counts[at:to].astype(np.int32).tobytes()]})
+
+    windows = materialized(texts(learn).mapInArrow(bagged, "k bigint, c bigint, w binary, n binary")).orderBy(F.xxhash64("k", "c"), "k", "c")
+    model = Softmax()
+    for _ in range(EPOCHS if learn else 0):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+        for r in windows.toLocalIterator():
+            n = np.frombuffer(r.n, np.int32).astype(np.int64)
+            held.append((np.frombuffer(r.w, np.int32), n, np.full(len(n), learn[r.k], np.float32)))
+            size += len(n)
+            if size >= HELD:
+                model.learn(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if held:
+            model.learn(*map(np.concatenate, zip(*held, strict=True)))
+        del held
     value, bias = model.value, model.bias
+    del model
     box = docs.sparkSession.sparkContext.broadcast(value)
 
     def rated(batches):
@@ -208,6 +250,6 @@ def learnt(docs: DataFrame, labels: DataFrame, label: str, ones: int, zeros: int
                 yield pa.RecordBatch.from_arrays([rows.column("k"), *map(pa.array, window_logits(box.value, bias, buf, offs))], ["k", "top", "mean"])
 
     # The same numbers as in scoring: the largest and the mean logit of all windows, two for each document.
-    z = read(apart, rated, "k bigint, top double, mean double")
+    z = texts(apart).mapInArrow(rated, "k bigint, top double, mean double").orderBy("k").toArrow()
     x = np.stack([z["top"].to_numpy(), z["mean"].to_numpy()], 1)
     return value, bias, regression(x, np.array([apart[k] for k in z["k"].to_pylist()]))

@@ -152,3 +152,29 @@ def test_trie_finds_what_it_holds_and_nothing_else():
     assert (trie.find(*np.divmod(other, 10**6)) == -1).all()
     empty = Trie.mapped(Trie.layout(keys[:0], keys[:0], code[:0]))
     assert (empty.find(context, word) == -1).all()
+
+
+def test_toxicity_learns_from_a_very_long_text_and_from_keys_with_two_texts(spark):
+    docs, labels, rows = labelled(spark)
+    long = " ".join(corpora.words(random.Random(5), 40, 300) for _ in range(22_000))  # about 4 MB
+    extra = [corpora.row(9001, long), corpora.row(9002, "other idiot moron text of a few words"), corpora.row(9002, corpora.words(random.Random(6), 30))]
+    both = spark.createDataFrame([(9001, 1, 0, "x"), (9002, 1, 0, "x")], labels.schema)
+    more, marks = docs.union(corpora.frame(spark, extra)), labels.union(both)
+    one = {(r.doc_id, r.score) for r in toxicity.toxicity_scores(more, marks).collect()}
+    two = {(r.doc_id, r.score) for r in toxicity.toxicity_scores(more.repartition(7), marks).collect()}
+    assert one == two  # neither the layout nor which of two texts is met first counts
+    score = {k: s for k, s in one if k is not None and k < 1000}
+    held = [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0 and r[0] in score]
+    assert sum((score[r[0]] >= 0.5) == (r[0] % 4 == 0) for r in held) >= 0.9 * len(held)
+
+
+def test_bags_equal_the_subwords_of_each_window():
+    texts = ["one two three four five six", "", "Idiot!!", "a b c d e", "ünï 12ab"]
+    raw = [t.encode() for t in texts]
+    buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    ids, counts, first = toxicity.bags(buf, offs)
+    grams, windows, first_again, n = toxicity.subwords(buf, offs)
+    edges = [*windows, n]
+    want = [np.concatenate([b[a:z][v[a:z]] for b, v in grams]) for a, z in zip(edges[:-1], edges[1:])]
+    assert list(first) == list(first_again) and list(counts) == [len(w) for w in want]
+    assert list(ids) == list(np.concatenate(want))
