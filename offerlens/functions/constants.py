@@ -88,3 +88,11 @@ TRANSLATION_FIELDS = {
     "purchases": {"small_area_name": "small_area"},
     "users": {"pref_name": "pref"},
 }
+
+# Item columns that a model may see.
+ITEM_FEATURES = [
+    "item_id", "genre_name", "capsule_text", "price_rate", "catalog_price", "discount_price", "disp_period",
+    "valid_period", "large_area_name", "pref_name", "small_area_name", "disp_from", "discount_amount",
+    "discount_ratio", "log_catalog_price", "log_discount_price", "display_days", "disp_year", "disp_month",
+    "disp_weekday", "disp_day",
+]

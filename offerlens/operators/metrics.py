@@ -7,14 +7,17 @@ removes repeats first and knows truth users only.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from offerlens.functions.constants import BOOTSTRAP_REPEATS, TOP_K
+from offerlens.functions.exprs import DRAW_FACTORS, DRAW_MODULUS, DRAW_MULTIPLIER, DRAW_SHIFT
 from offerlens.operators.topk import top_k_distinct
 
+BETTER, TIED, EVALUATED_ON = "reference ahead", "no clear difference", "holdout, whole pool"
+
 
 def _precision_sum(ranked: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     """Per list: sum of hits-so-far / rank over its hits.  Lists hold at most k rows here."""
@@ -86,40 +89,68 @@ def ap_deltas(ap: DataFrame, reference: str, challenger: str) -> DataFrame:
     return both.filter("r is not null and c is not null").select("user_id", (F.col("r") - F.col("c")).alias("delta"))
 
 
+DRAWS_A_ROW = 1 << 20
+
+
+def _places(replicate: np.ndarray, number: np.ndarray, users: int, seed: int) -> np.ndarray:
+    """The user, by place, of each draw: an integer hash of replicate and draw, mixed twice; the same in any engine."""
+    def mixed(a: np.ndarray, b: np.ndarray, own: int) -> np.ndarray:
+        h = (a * DRAW_FACTORS[0] + b * DRAW_FACTORS[1] + own * DRAW_FACTORS[3]) % DRAW_MODULUS
+        return (h * h + h * DRAW_MULTIPLIER + DRAW_SHIFT) % DRAW_MODULUS
+
+    return mixed(mixed(replicate, number % DRAW_MODULUS, seed), replicate, seed + 1) % users
+
+
 def paired_bootstrap(ap: DataFrame, reference: str, challenger: str, repeats: int = BOOTSTRAP_REPEATS,
                      seed: int = 42) -> DataFrame:
-    """Mean AP difference with a 95 % interval from resampled users.
+    """Mean AP difference with a 95 % interval from `repeats` resamples of as many users as there are, with replacement.
 
-    Users with the same difference are interchangeable, so a replicate draws one Poisson weight per distinct
-    difference (its mean the number of users holding it).  AP@k takes few values, hence the work does not grow with
-    the users once they are counted.
+    Users with the same difference are interchangeable: a draw is a place among the users in order of their differences, found
+    among the counts of the distinct ones.  AP@k takes few values, so that table stays small however many users there
+    are; the draws are spread over tasks in rows of `DRAWS_A_ROW`, and a row gives one sum.
     """
     counted = ap_deltas(ap, reference, challenger).groupBy(F.round("delta", 12).alias("delta")).agg(
-        F.count(F.lit(1)).alias("n"))
-
-    def replicate(batches):
-        for pdf in batches:
-            weighted, weights = np.zeros(repeats), np.zeros(repeats)
-            for delta, n in zip(pdf["delta"], pdf["n"]):
-                rng = np.random.default_rng([seed, abs(int(round(delta * 1e12))), int(delta < 0)])
-                w = rng.poisson(n, repeats)
-                weighted += w * delta
-                weights += w
-            yield pd.DataFrame({"replicate": np.arange(repeats), "s": weighted, "w": weights})
-
-    draws = counted.mapInPandas(replicate, "replicate bigint, s double, w double").groupBy("replicate").agg(
-        F.sum("s").alias("s"), F.sum("w").alias("w")).filter("w > 0")
+        F.count(F.lit(1)).alias("n")).orderBy("delta").toArrow()
+    spark = ap.sparkSession
+    delta, upto = counted["delta"].to_numpy(), np.cumsum(counted["n"].to_numpy())
+    users = int(upto[-1]) if len(upto) else 0
+    parts = max(1, -(-users // DRAWS_A_ROW))
+    known = spark.sparkContext.broadcast((delta, upto))
+
+    def drawn(batches):
+        delta, upto = known.value
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            sums = []
+            for i in ids.tolist():
+                replicate, part = divmod(i, parts)
+                number = np.arange(part * DRAWS_A_ROW, min((part + 1) * DRAWS_A_ROW, users), dtype=np.int64)
+                place = _places(np.full(len(number), replicate, np.int64), number, users, seed)
+                sums.append(float(delta[np.searchsorted(upto, place, "right")].sum()))
+            yield pa.RecordBatch.from_pydict({"replicate": ids // parts, "s": np.array(sums)})
+
+    draws = spark.range(repeats * parts if users else 0).mapInArrow(drawn, "replicate bigint, s double").groupBy("replicate").agg(
+        (F.sum("s") / F.lit(users)).alias("mean"))
     # One number per replicate is left; its percentiles are exact.
-    interval = draws.agg(F.percentile(F.col("s") / F.col("w"), F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
-    mean = counted.agg(F.sum(F.col("delta") * F.col("n")).alias("s"), F.sum("n").alias("n"))
-    low, high = interval.select(F.col("ci")[0]).scalar(), interval.select(F.col("ci")[1]).scalar()
-    return mean.select(
-        F.lit(reference).alias("reference"), F.lit(challenger).alias("challenger"),
-        (F.col("s") / F.col("n")).alias("mean_ap_delta"), low.alias("ci_low"), high.alias("ci_high"),
-        F.when(low > 0, "reference better").otherwise("statistically tied at 95% CI").alias("conclusion"))
+    ci = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
+    mean = float((delta * counted["n"].to_numpy()).sum() / users) if users else None
+    return draws.agg(ci.alias("ci")).filter("ci is not null").select(
+        F.lit(reference).alias("reference"), F.lit(challenger).alias("challenger"), F.lit(mean).cast("double").alias("mean_ap_delta"),
+        F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"),
+        F.when(F.col("ci")[0] > 0, BETTER).otherwise(TIED).alias("conclusion"))
+
+
+def bootstrap_table(ap: DataFrame, reference: str, repeats: int = BOOTSTRAP_REPEATS, seed: int = 42) -> DataFrame:
+    """paired_bootstrap of the reference against every other method of `ap`, the methods in order of their names."""
+    methods = sorted(r.method for r in ap.select("method").distinct().collect() if r.method != reference)
+    out = None
+    for i, m in enumerate(methods):
+        row = paired_bootstrap(ap, reference, m, repeats, seed + i)
+        out = row if out is None else out.unionByName(row)
+    return out if out is not None else paired_bootstrap(ap, reference, reference, repeats, seed).limit(0)
 
 
-def compare_methods(ap: DataFrame, kinds: dict[str, str], split: str = "untouched_full_pool_holdout") -> DataFrame:
+def compare_methods(ap: DataFrame, kinds: dict[str, str], split: str = EVALUATED_ON) -> DataFrame:
     """Methods by MAP, best first."""
     kind = F.lit("ranker")
     for method, name in kinds.items():

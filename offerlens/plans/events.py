@@ -440,7 +440,7 @@ def baseline_map(spark, sf):
 
 
 @query("compare_methods", with_views(NAMES, """
-select method, 'baseline' as kind, round(avg(ap), 6) as map_at_k, count(*) as users, 'untouched_full_pool_holdout' as evaluation_split
+select method, 'baseline' as kind, round(avg(ap), 6) as map_at_k, count(*) as users, 'holdout, whole pool' as evaluation_split
 from ap group by method""", BASE_SQL))
 def compare_methods(spark, sf):
     return tidy(V.compare_methods(baseline_ap(spark, sf), {"global_popularity": "baseline", "user_preference": "baseline"}))
@@ -454,12 +454,40 @@ def mean_ap_delta(spark, sf):
     return tidy(deltas.agg(F.count(F.lit(1)).alias("users"), F.avg("delta").alias("mean_delta")))
 
 
-@query("paired_bootstrap")
+def bootstrap_sql(pairs: list[tuple[str, str, int]], repeats: int = 2000) -> str:
+    """Resamples of as many users as there are, drawn by the same integer hash; (reference, challenger, seed) each."""
+    first = draw(["r", "j"], 0).replace(" + 0)", " + seed * 15485863)")
+    rows = " union all ".join(f"select '{a}' as reference, '{b}' as challenger, {s} as seed" for a, b, s in pairs)
+    return f"""
+asked as ({rows}),
+deltas as (select reference, challenger, seed, a.user_id, round(a.ap - b.ap, 12) as delta from asked join ap a on a.method = reference
+  join ap b on b.method = challenger and b.user_id = a.user_id),
+placed as (select *, row_number() over (partition by challenger order by delta) - 1 as place, count(*) over (partition by challenger) as users from deltas),
+drawn as (select challenger, r, {draw(["d", "r"], 0).replace(" + 0)", " + (seed + 1) * 15485863)")} % users as place
+  from (select challenger, seed, users, r, {first} as d from (select distinct challenger, seed, users from placed), range({repeats}) t(r), range(users) u(j))),
+means as (select d.challenger, r, avg(delta) as m from drawn d join placed p on p.challenger = d.challenger and p.place = d.place group by all),
+ends as (select challenger, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from means group by challenger),
+bootstrap as (select a.reference, a.challenger, round(avg(delta), 6) as mean_ap_delta, round(any_value(lo), 6) as ci_low, round(any_value(hi), 6) as ci_high,
+  case when any_value(lo) > 0 then 'reference ahead' else 'no clear difference' end as conclusion
+  from asked a join deltas d on d.challenger = a.challenger join ends e on e.challenger = a.challenger group by all)"""
+
+
+@query("paired_bootstrap", with_views(NAMES, "select * from bootstrap", BASE_SQL + "," + bootstrap_sql([("user_preference", "global_popularity", 42)])))
 def paired_bootstrap(spark, sf):
     """Mean AP difference of the baselines with its 95 % interval."""
     return tidy(V.paired_bootstrap(baseline_ap(spark, sf), "user_preference", "global_popularity"))
 
 
+@query("bootstrap_table", with_views(NAMES, "select * from bootstrap", BASE_SQL.replace("ap as (", "ap0 as (", 1) + """,
+ap as (select * from ap0 union all select 'even_mix', user_id, avg(ap) from ap0 group by user_id)""" + ","
+    + bootstrap_sql([("user_preference", "even_mix", 42), ("user_preference", "global_popularity", 43)])))
+def bootstrap_table(spark, sf):
+    """The preference baseline against every other method (popularity, and an even mix of both), with verdicts."""
+    ap = materialized(baseline_ap(spark, sf).select("method", "user_id", "ap"))
+    mix = ap.groupBy("user_id").agg(F.avg("ap").alias("ap")).select(F.lit("even_mix").alias("method"), "user_id", "ap")
+    return tidy(V.bootstrap_table(ap.unionByName(mix), "user_preference"))
+
+
 def _retrieval(spark, sf):
     w = event_world(spark, sf)
     truth = H.item_sets(w.part("holdout"))

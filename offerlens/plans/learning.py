@@ -139,16 +139,25 @@ def factorization_mean(spark, sf):
     return tidy(ratings.agg(F.avg("r").alias("mean_rating"), F.count(F.lit(1)).alias("ratings")))
 
 
-@query("factorization_top10")
-def factorization_top10(spark, sf):
-    """Biased factorization of the purchases before the validation week, ranked over its candidates."""
+def factorization(spark, sf):
+    """A factorization of the purchases before the validation week, the users and the week's candidates."""
     w = W.world(spark, sf)
     grid = S.week_grid(w.purchases)
     model = M.fit_factorization(materialized(S.history_before(w.purchases, grid.val_start)))
-    pool = S.candidates_in_window(w.items, grid.val_start)
-    pairs = CA.pool_pairs(w.users.select("user_id"), pool.select("item_id")).select("user_id", "item_id")
-    scored = M.factor_scores(pairs, model).withColumn("score", F.round("score", 6))
-    return tidy(top_k(scored, ["user_id"], F.col("score"), 10, [F.col("item_id")]))
+    return M.factor_top(w.users, S.candidates_in_window(w.items, grid.val_start), model)
+
+
+@query("factorization_top10")
+def factorization_top10(spark, sf):
+    """Biased factorization ranked over the validation candidates, through bounds and not through the product."""
+    return tidy(factorization(spark, sf)[0])
+
+
+@query("factorization_work")
+def factorization_work(spark, sf):
+    """How many user-item pairs the bounds leave to be scored."""
+    scored = factorization(spark, sf)[1]
+    return tidy(scored.agg(F.count(F.lit(1)).alias("users"), F.sum("scored").alias("pairs_scored")))
 
 
 def fitted(spark, sf, kind: str):

@@ -57,7 +57,7 @@ def test_bootstrap_brackets_the_mean_and_is_reproducible(make):
     assert one == two
     assert one["mean_ap_delta"] == pytest.approx(0.4)
     assert 0.37 < one["ci_low"] < 0.4 < one["ci_high"] < 0.43
-    assert one["conclusion"] == "reference better"
+    assert one["conclusion"] == V.BETTER
     same = V.paired_bootstrap(df.replace("b", "c", ["method"]).unionByName(
         df.filter("method = 'a'").replace("a", "b", ["method"])), "a", "b", 100).first()
     assert same["conclusion"].startswith("statistically tied")
