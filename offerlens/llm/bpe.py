@@ -31,11 +31,11 @@ KEPT, KEPT_LENGTH = 150_000, 48
 
 
 class Recent(dict):
-    """A store of at most 2 * KEPT entries that forgets those not used lately."""
+    """What was made for the keys met lately: at most KEPT entries and as many of the generation before."""
 
-    def __init__(self, make):
+    def __init__(self, make, before: dict | None = None):
         super().__init__()
-        self.make, self.before = make, {}
+        self.make, self.before = make, before if before is not None else {}
 
     def __missing__(self, key):
         found = self.before.get(key)
@@ -43,12 +43,16 @@ class Recent(dict):
             found = self.make(key)
             if len(key) > KEPT_LENGTH:
                 return found
-        if len(self) >= KEPT:
-            self.before = dict(self)
-            self.clear()
         self[key] = found
         return found
 
+    def next(self) -> Recent:
+        """This store while there is room, else a new one before which this one stands."""
+        if len(self) < KEPT:
+            return self
+        self.before = {}
+        return Recent(self.make, self)
+
 
 def default_file() -> str:
     """The place of the public 50k byte-level vocabulary on this machine."""
@@ -114,6 +118,12 @@ class Bpe:
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in content])]).tolist()
         self._fits: dict[int, bool] = {}
         self._piece, self._run = Recent(self._encode_piece), Recent(self._encode_run)
+        # Whole pieces of letters that are tokens need no search; each token's place in a list of ids, as text.
+        self._text = [str(i) for i in range(size)]
+        self._whole: dict[str, tuple[int, str, bytes]] = {}
+        for i, t in self.tokens.items():
+            if t[:1] == b" " and t[1:].isalpha():
+                self._whole[t[1:].decode()] = (1, self._text[i], t)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of the two tokens leaves the border between them standing.
@@ -181,18 +191,23 @@ class Bpe:
 
     def _encode_piece(self, piece: str) -> tuple[int, str, bytes]:
         ids = self.encode_piece(piece)
-        return len(ids), ",".join(map(str, ids)), self.decode(ids)
+        text, whole, at = self._text, self.bytes, self.offsets
+        return len(ids), ",".join([text[i] for i in ids]), b"".join([whole[at[i]: at[i + 1]] for i in ids])
 
     def _encode_run(self, run: str) -> tuple[int, str, bytes]:
         """The encoding of a run behind a space."""
+        if run.isascii() and run.isalpha():  # one piece, as the pattern has it
+            return self._whole.get(run) or self._encode_piece(" " + run)
         pieces = self.pieces(" " + run)
         if len(pieces) == 1:
-            return self._piece[pieces[0]]
-        n, ids, raw = zip(*[self._piece[p] for p in pieces], strict=True)
+            return self._encode_piece(pieces[0])
+        # A piece that begins with a space is a run of its own.
+        n, ids, raw = zip(*[self._run[p[1:]] if len(p) > 1 and p[0] == " " else self._piece[p] for p in pieces], strict=True)
         return sum(n), ",".join(ids), b"".join(raw)
 
     def parts(self, text: str) -> list[tuple[int, str, bytes]]:
         """(tokens, ids as text, decoded bytes) of the runs of a text in order."""
+        self._run, self._piece = self._run.next(), self._piece.next()
         out = []
         for i, stretch in enumerate(self.cut.split(text) if self.cut and self.cut.search(text) else [text]):
             if i % 2:
