@@ -160,30 +160,44 @@ class Bpe:
                 b, b_until = self.halves[b][0], rb
 
     def encode_piece(self, piece: str) -> list[int]:
-        raw = piece.encode("utf-8", "surrogatepass").decode("latin-1")
-        full, lengths, fits = len(raw), self.lengths, self.compatible
-        longest = [0] * full
-        for end, (n, token) in self.automaton.iter(raw):  # of tokens with one start, the longest ends last
+        raw = piece if piece.isascii() else piece.encode("utf-8", "surrogatepass").decode("latin-1")
+        full, lengths, shorter, known = len(raw), self.lengths, self.shorter, self._fits
+        # The longest token at each place that is looked at: first those of the greedy walk, others where it has to be left.
+        longest = [-1] * full
+        for end, (n, token) in self.automaton.iter_long(raw):
             longest[end + 1 - n] = token
         token, pos = longest[0], 0
         if lengths[token] == full:
             return [token]
         out: list[int] = []
         dead = bytearray(full + 1)
+        last = -1
         while True:
             end = pos + lengths[token]
-            if not dead[end] and (not out or fits(out[-1], token)):
+            fits = not dead[end]
+            if fits and last >= 0:
+                fits = known.get(last << 32 | token)
+                if fits is None:
+                    fits = self.compatible(last, token)
+            if fits:
                 out.append(token)
                 if end == full:
                     return out
-                pos, token = end, longest[end]
+                pos, last, token = end, token, longest[end]
+                if token < 0:
+                    for end, (n, found) in self.automaton.iter_long(raw, pos):
+                        if longest[end + 1 - n] >= 0:  # back on known places
+                            break
+                        longest[end + 1 - n] = found
+                    token = longest[pos]
                 continue
-            token = self.shorter[token]
+            token = shorter[token]
             while token < 0:  # nothing fits from here
                 dead[pos] = 1
-                last = out.pop()
-                pos -= lengths[last]
-                token = self.shorter[last]
+                gone = out.pop()
+                pos -= lengths[gone]
+                last = out[-1] if out else -1
+                token = shorter[gone]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         whole, at = self.bytes, self.offsets
