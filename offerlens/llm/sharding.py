@@ -42,7 +42,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
 
     `size` is the text's UTF-8 bytes plus 1, `law` is 'bytes': sizes of the shards are near equal.  `slot` numbers a
     shard's rows from 0 without gaps.  Null text counts as empty; empty texts form a group; null keys and repeated rows
-    are placed like others; an empty table gives an empty result; other columns are ignored.
+    are placed like others, and a number of the row parts those of one key; a text longer than a shard's share fills a shard of its own;
+    ties of groups go by their hash; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -50,7 +51,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
         F.col(f"`{key}`").alias("k"), t.alias("t")).select(
         "k", (F.octet_length("t") + F.lit(1)).cast("bigint").alias("size"),
         F.crc32("t").alias("text_crc32"), F.regexp_count("t", F.lit(WORD)).cast("bigint").alias("tokens"),
-        F.xxhash64("t").alias("g"), F.xxhash64(F.col("k"), F.lit(7)).alias("spread")))
+        F.xxhash64("t").alias("g"), F.xxhash64(F.col("k"), F.monotonically_increasing_id()).alias("spread")))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.count(F.lit(1))).first()
     totals = [max(1, int(x)) for x in total]
 
