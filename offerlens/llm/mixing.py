@@ -3,7 +3,8 @@
 Every document of a source should be taken target / source size times.  The whole part is certain; the fractional parts
 are rounded in pairs: mass (copies times words) moves from one document to the other, in a random direction with the
 chances that keep every expectation, until one of the two is whole.  The source's total mass never changes in a pair, so only
-the last undecided document of a source moves its total.  Documents are paired within hash parts of a source, in falling
+the last undecided document of a source moves its total; in the last group of a source single changes of mind then bring the total as
+near to the target as they can.  Documents are paired within hash parts of a source, in falling
 size, so that what is left over is small; what is left over of the parts is paired again in a tree with fixed fan-in.
 A source of any size, also one with a third of all rows, is split over as many parts as its rows need.
 """
@@ -94,6 +95,26 @@ def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> tuple[np
     return p, open_at
 
 
+def settle(p: np.ndarray, before: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rounded probabilities whose total mass is as near to the one before rounding as single changes of mind bring it.
+
+    While it helps, the document whose other choice leaves the least of what is missing or too much takes it, first ones on
+    ties; only documents that had a choice are looked at.  This serves the last group of a source, where no other
+    document is left to take up a large one's mass.
+    """
+    p, free = p.copy(), np.flatnonzero(_undecided(before))
+    missing = float((before * size).sum() - (p * size).sum())
+    while len(free):
+        change = np.where(p[free] > 0.5, -size[free], size[free])
+        after = np.abs(missing - change)
+        best = int(after.argmin())
+        if after[best] >= abs(missing) - EPS:
+            break
+        p[free[best]] = 1 - p[free[best]]
+        missing -= change[best]
+    return p
+
+
 SCHEMA = "k bigint, tag bigint, source string, size bigint, source_size bigint, target double, whole int, p double, part bigint, open boolean"
 
 
@@ -102,10 +123,13 @@ def _round(seed: int, last: bool):
         pdf = pdf.sort_values(["size", "k", "tag"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         name = pdf["source"].iloc[0]
         rng = np.random.default_rng([seed, 0 if name is None else zlib.crc32(name.encode()) + 1, int(pdf["part"].iloc[0]) + 1, int(last)])
-        p, left = pivot(pdf["p"].to_numpy(float), np.maximum(pdf["size"].to_numpy(float), 1e-300), rng)
+        before, size = pdf["p"].to_numpy(float), np.maximum(pdf["size"].to_numpy(float), 1e-300)
+        p, left = pivot(before, size, rng)
         pdf["open"] = False
-        if left >= 0 and last:
-            p[left] = float(rng.random() < p[left])
+        if last:
+            if left >= 0:
+                p[left] = float(rng.random() < p[left])
+            p = settle(p, before, size)
         elif left >= 0:
             pdf.loc[left, "open"] = True
         pdf["p"] = p
