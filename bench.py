@@ -11,7 +11,7 @@ import os
 import time
 
 from offerlens.plans.catalog import QUERIES
-from offerlens.session import local_session
+from offerlens.session import discard, local_session
 
 HEADLINE = [
     "rules_top10", "popularity_top10", "rules_map10", "rules_top10_targets", "predict_targets", "user_history",
@@ -31,6 +31,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        discard(spark)
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(os.path.normpath(folder))}))
 

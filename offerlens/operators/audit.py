@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from offerlens.functions.constants import NON_FEATURES, SHARED_HISTORY, SOURCE_POSITIVE
 from offerlens.functions.exprs import ts_lit
@@ -125,13 +126,32 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
 
 
+def one_row_a_key(right: DataFrame, keys: list[str]) -> DataFrame:
+    """The table, failing where a row is read whose key repeats: the check is part of the plan and costs no job of its own.
+
+    Rows with a null key can't be met by a join and are left out."""
+    rest = [c for c in right.columns if c not in keys]
+    message = F.concat(F.lit(f"the right side repeats {keys}: "), F.to_json(F.struct(*keys)))
+    held = right.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*[F.lit(True).alias("_met"), *rest])).alias("_row"))
+    kind = held.schema["_row"].dataType
+    held = held.withColumn("_row", F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(message).cast(kind)))
+    return held.select(*keys, "_row")
+
+
 def validated_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", one_to_one: bool = False,
                    complete: bool = False) -> DataFrame:
-    """A join that refuses duplicate right keys, duplicate left keys (one_to_one) and missing matches (complete)."""
-    if duplicate_keys(right, keys).limit(1).count():
-        raise ValueError(f"the right side repeats {keys}")
-    if one_to_one and duplicate_keys(left, keys).limit(1).count():
-        raise ValueError(f"the left side repeats {keys}")
-    if complete and left.join(right, keys, "left_anti").limit(1).count():
-        raise ValueError(f"some rows find no match on {keys}")
-    return left.join(right, keys, how)
+    """A left or inner join that fails on duplicate right keys, duplicate left keys (one_to_one) and missing matches (complete).
+
+    Each check is an expression over the join's own rows and raises when the result is computed."""
+    rest = [c for c in right.columns if c not in keys]
+    joined = left.join(one_row_a_key(right, keys), keys, how)
+    met = F.col("_row")
+    if complete:
+        message = F.concat(F.lit(f"some rows find no match on {keys}: "), F.to_json(F.struct(*keys)))
+        joined = joined.withColumn("_row", F.when(met.isNotNull(), met).otherwise(F.raise_error(message).cast(joined.schema["_row"].dataType)))
+    if one_to_one:
+        # A hot left key would be an error anyway; counting it is one window over the join's own partitioning.
+        many = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+        message = F.concat(F.lit(f"the left side repeats {keys}: "), F.to_json(F.struct(*keys)))
+        joined = joined.withColumn("_row", F.when(many, F.raise_error(message).cast(joined.schema["_row"].dataType)).otherwise(met))
+    return joined.select(*left.columns, *[met[c].alias(c) for c in rest])

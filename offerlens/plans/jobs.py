@@ -45,8 +45,7 @@ def _rank_by_model(users: DataFrame, pool: DataFrame, ctx: H.Context, cutoff_us:
 
 
 def _rank_by_factors(users: DataFrame, pool: DataFrame, model: M.Factorization) -> DataFrame:
-    pairs = CA.pool_pairs(users.select("user_id"), pool.select("item_id")).select("user_id", "item_id")
-    return top_k(M.factor_scores(pairs, model), ["user_id"], F.col("score"), TOP_K, [F.col("item_id")])
+    return M.factor_top(users, pool, model, TOP_K, digits=12)[0]
 
 
 def weekly_run(w: World, trees: int = 160, max_users: int | None = None, factor_epochs: int = 20) -> WeeklyRun:

@@ -12,10 +12,13 @@ from offerlens.operators import features as FE
 from offerlens.operators import history as H
 from offerlens.operators import metrics as V
 from offerlens.operators import models as M
+from offerlens.operators import requests as R
 from offerlens.operators import sampling as N
+from offerlens.operators import scoring as SC
 from offerlens.operators import split as S
 from offerlens.operators.numbering import column_medians
 from offerlens.operators.topk import top_k
+from offerlens.plans import serving
 from offerlens.plans.events import (
     EVAL_SQL, NAMES, TRAIN_SQL, baseline_scores, evaluation, event_frame, event_world, train_negatives, train_pairs)
 from offerlens.plans.ranking import validation_setup, validation_truth, weekly_frame
@@ -153,6 +156,30 @@ def factorization_top10(spark, sf):
     return tidy(factorization(spark, sf)[0])
 
 
+@query("all_methods_map10")
+def all_methods_map10(spark, sf):
+    """The validation week by all four methods: rules, popularity, factorization and boosted trees side by side."""
+    w, _, codes, model = weekly_model(spark, sf)
+    _, grid, ctx, pool = validation_setup(spark, sf)
+    columns = ["method", "user_id", "item_id", "rank"]
+    lists = SC.score_all(w.users, pool, ctx, grid.val_start, digits=6).select(*columns)
+    for method, ranked in (("boosted_trees", gbt_ranking(spark, sf, w, model, codes, ctx, pool, grid.val_start)),
+                           ("factorization", factorization(spark, sf)[0])):
+        lists = lists.unionByName(ranked.withColumn("method", F.lit(method)).select(*columns))
+    return tidy(V.map_at_k_all_users(w.users, validation_truth(w, grid), materialized(lists), by=["method"]))
+
+
+@query("ranked_requests_by_model")
+def ranked_requests_by_model(spark, sf):
+    """Every customer's request answered by the trained trees where the request leaves the method open."""
+    w, _, codes, model = weekly_model(spark, sf, include_validation=True)
+    _, grid, requests = serving.setup(spark, sf)
+    ctx = H.cutoff_context(w.purchases, w.visits, w.all_items, grid.final_cutoff)
+    ranked, _ = R.rank_requests(requests, w.users, w.all_items, w.target_items, ctx, grid.final_cutoff, grid.final_cutoff, codes,
+                                lambda rows: M.probability(model, rows))
+    return tidy(ranked)
+
+
 @query("factorization_work")
 def factorization_work(spark, sf):
     """How many user-item pairs the bounds leave to be scored."""

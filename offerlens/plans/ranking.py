@@ -211,7 +211,7 @@ def weekly_frame(spark, sf, include_validation: bool = False):
     grid = S.week_grid(w.purchases)
     pairs = materialized(N.weekly_pairs(w.users, w.purchases, w.items, grid, include_validation=include_validation))
     ctx = H.weekly_context_of(pairs, w.purchases, w.visits, w.all_items, w.all_items, grid, include_validation)
-    table = E.entity_codes(w.users, w.all_items)
+    table = materialized(E.entity_codes(w.users, w.all_items))
     frame = FE.pair_features(pairs.withColumn("cutoff", grid.start_of(F.col("week"))), w.users, w.all_items, ctx, table)
     return w, grid, frame, table
 

@@ -58,6 +58,7 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}  # the intermediate tables of each application
 
 
 def materialized(df: DataFrame) -> DataFrame:
@@ -72,5 +73,17 @@ def materialized(df: DataFrame) -> DataFrame:
     if folder is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK_DESER)
     path = f"{folder}/offerlens-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application has written so far, and say how many; to be called when the results built
+    on them are written or no longer needed."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)

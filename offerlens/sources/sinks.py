@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlens.functions.constants import TOP_K
+from offerlens.operators.audit import validated_join
 
 
 def item_strings(ranked: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -18,8 +19,8 @@ def item_strings(ranked: DataFrame, k: int = TOP_K) -> DataFrame:
 
 
 def submission(template: DataFrame, ranked: DataFrame, k: int = TOP_K) -> DataFrame:
-    """One row per template user; users without a list get an empty text."""
-    return template.select("user_id").join(item_strings(ranked, k), "user_id", "left").select(
+    """One row per template user; users without a list get an empty text, a repeated template user is an error."""
+    return validated_join(template.select("user_id"), item_strings(ranked, k), ["user_id"], one_to_one=True).select(
         "user_id", F.coalesce("purchased_items", F.lit("")).alias("purchased_items"))
 
 
@@ -28,7 +29,7 @@ def submission_with_fallback(template: DataFrame, ranked: DataFrame, fallback: D
     pairs = F.array_sort(F.collect_list(F.struct("rank", "item_id")))
     common = fallback.filter(F.col("rank") <= k).agg(
         F.array_join(F.transform(pairs, lambda p: p["item_id"].cast("string")), " ").alias("l")).scalar()
-    return template.select("user_id").join(item_strings(ranked, k), "user_id", "left").select(
+    return validated_join(template.select("user_id"), item_strings(ranked, k), ["user_id"], one_to_one=True).select(
         "user_id", F.coalesce("purchased_items", common).alias("purchased_items"))
 
 

@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -5,8 +7,10 @@ from pyspark.sql import functions as F
 from offerlens.functions import exprs as X
 from offerlens.functions.constants import TRANSLATION_FIELDS
 from offerlens.operators import clean as C
+from offerlens.operators import features as FE
 from offerlens.operators import profile as P
 from offerlens.operators.audit import validated_join
+from offerlens.sources import sinks
 from offerlens.sources import tables as T
 
 
@@ -60,12 +64,28 @@ def test_required_columns():
 def test_joins_refuse_repeated_and_missing_keys(make):
     left, right = make([(1,), (2,)], "k int"), make([(1, "x")], "k int, v string")
     assert validated_join(left, right, ["k"]).count() == 2
-    with pytest.raises(ValueError, match="no match"):
-        validated_join(left, right, ["k"], complete=True)
-    with pytest.raises(ValueError, match="repeats"):
-        validated_join(left, right.union(right), ["k"])
-    with pytest.raises(ValueError, match="left side repeats"):
-        validated_join(left.union(left), right, ["k"], one_to_one=True)
+    assert rows_of(validated_join(left.filter("k = 1"), right, ["k"], one_to_one=True, complete=True), "k", "v") == [(1, "x")]
+    for failing, message in ((lambda: validated_join(left, right, ["k"], complete=True), "find no match"),
+                             (lambda: validated_join(left, right.union(right), ["k"]), "right side repeats"),
+                             (lambda: validated_join(left.union(left), right, ["k"], one_to_one=True), "left side repeats")):
+        joined = failing()  # planning runs no job
+        with pytest.raises(Exception, match=message):
+            joined.collect()
+
+
+def test_a_repeated_item_fails_where_features_are_made(make):
+    users = make([(1, "f", 30, "N", "30s")], "user_id long, sex_id string, age int, pref_name string, age_bucket string")
+    items = make([(7, "g", "c", "N", 1.0, 2.0, 2.0)] * 2, "item_id long, genre_name string, capsule_text string, pref_name string, price_rate double, catalog_price double, discount_price double")
+    buys = make([(1, 7, datetime(2024, 1, 2), 0)], "user_id long, item_id long, ts timestamp, positive_event_id long")
+    pairs = make([(1, 7, 1, 0)], "user_id long, item_id long, label int, positive_event_id long")
+    bad = FE.event_time_features(pairs, users, FE.item_features(items), buys, buys)
+    with pytest.raises(Exception, match="repeats"):
+        bad.collect()
+    good = FE.event_time_features(pairs, users, FE.item_features(items.dropDuplicates()), buys, buys)
+    assert good.first()["user_purchase_count"] == 0
+    template = make([(1,), (1,)], "user_id long")
+    with pytest.raises(Exception, match="left side repeats"):
+        sinks.submission(template, make([(1, 7, 1)], "user_id long, item_id long, rank int")).collect()
 
 
 def test_csv_in_two_encodings(spark, tmp_path):

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check_oracles
+from offerlens import session
 from offerlens.session import materialized
 
 FOLDER = "/root/testdata/sf0.001"
@@ -15,6 +16,7 @@ QUICK = [
     "weekly_training_pairs", "weekly_user_snapshots", "weekly_genre_snapshots_order_lines", "hard_negatives", "lines_before_order",
     "last_purchase_before_visit", "user_history", "three_way_split", "cutoff_features", "baseline_ap", "predict_targets",
     "submission_with_fallback", "rejected_requests", "ranked_requests", "exact_medians", "item_codes", "validation_report",
+    "retrieval_candidates", "popular_random_candidates", "paired_bootstrap",
 ]
 needs_data = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 
@@ -49,3 +51,11 @@ def test_the_shared_folder_of_the_cluster_is_used(spark):
     before = set(os.listdir(folder))
     df = materialized(spark.range(5))
     assert df.count() == 5 and len(set(os.listdir(folder)) - before) == 1
+
+
+def test_intermediate_tables_can_be_deleted(spark, monkeypatch):
+    monkeypatch.setattr(session, "_WRITTEN", {})
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    assert materialized(spark.range(3)).count() == 3 and materialized(spark.range(4)).count() == 4
+    assert session.discard(spark) == 2 and set(os.listdir(folder)) == before and session.discard(spark) == 0
