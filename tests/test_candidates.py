@@ -104,3 +104,21 @@ def test_popular_then_random(shop):
     assert per_user[1] != per_user[2]
     whole = CA.popular_random_candidates(truth, pool, bought, max_per_user=500, popular=6)
     assert whole.count() == 120
+
+
+def test_shortlist_is_short_where_prices_are_equal(make):
+    # Bases lie closer together than the score can move within a wide band of prices, but nobody's price differs from another's.
+    items = [(i, "g", "r", 1.0 + i * 1e-4, 6.0 + i * 1e-5) for i in range(200)]
+    owners = [(o, "r", 0.0) for o in range(40)]
+    pairs = CA.shortlist(make(owners, "o int, pref_name string, log_price double"), make([], "o int, genre_name string"),
+                         make(items, "item_id int, genre_name string, pref_name string, base double, log_price double"), ["o"], 5, 0.08)
+    got = rows_of(pairs, "o", "item_id")
+    assert got == [(o, i) for o in range(40) for i in range(195, 200)]
+
+
+def test_shortlist_spreads_its_owners(spark, make):
+    items = [(i, "g", "r", float(i), 6.0) for i in range(30)]
+    owners = make([(o, "r", 0.0) for o in range(400)], "o int, pref_name string, log_price double").coalesce(1)
+    pairs = CA.shortlist(owners, make([], "o int, genre_name string"),
+                         make(items, "item_id int, genre_name string, pref_name string, base double, log_price double"), ["o"], 3, 0.08)
+    assert pairs.select("o", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().count() > 1

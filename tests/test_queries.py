@@ -59,3 +59,49 @@ def test_intermediate_tables_can_be_deleted(spark, monkeypatch):
     before = set(os.listdir(folder))
     assert materialized(spark.range(3)).count() == 3 and materialized(spark.range(4)).count() == 4
     assert session.discard(spark) == 2 and set(os.listdir(folder)) == before and session.discard(spark) == 0
+
+
+def test_broadcasts_go_by_size_in_memory(spark, make, tmp_path):
+    session.configure(spark)
+    assert session._bytes("10MB") == 10 << 20 and session._bytes("256k") == 256 << 10 and session._bytes("-1") == -1 and session._bytes("99b") == 99
+    # 300,000 rows in some 5 MB of memory and far fewer of files: no table for the driver to hand out.
+    path = str(tmp_path / "long")
+    spark.range(300_000).selectExpr("id div 1000 as k", "repeat('x', 40) as t").coalesce(1).write.parquet(path)
+    files = sum(f.stat().st_size for f in (tmp_path / "long").glob("*.parquet"))
+    assert files < session.BROADCAST_BYTES and spark.conf.get("spark.sql.sources.fileCompressionFactor") == "10"
+
+
+def test_a_cluster_may_ask_for_smaller_broadcasts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for asked, got in (("256k", "256k"), ("-1", "-1"), ("1g", str(session.BROADCAST_BYTES))):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", asked)
+            session.configure(spark)
+            assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_retrieval_candidates_keeps_the_limits_of_a_full_run(monkeypatch):
+    """Sources are cut by the limits of a full run only, in the query as in its SQL."""
+    from offerlens.plans import events
+
+    asked = {}
+
+    class Stop(Exception):
+        pass
+
+    def retrieval(truth, pool, items, purchases, visits, max_per_user=events.MAX_CANDIDATES_PER_USER, popular=events.POPULAR_CANDIDATES, seed=42):
+        asked.update(limit=max_per_user, popular=popular)
+        raise Stop
+
+    class World:
+        items = None
+
+    monkeypatch.setattr(events, "_retrieval", lambda spark, sf: (World, None, None, None, None))
+    monkeypatch.setattr(events.CA, "retrieval_candidates", retrieval)
+    with pytest.raises(Stop):
+        events.retrieval_candidates(None, "")
+    assert asked == {"limit": 500, "popular": 100}
+    sql = entry.oracle_sql()["retrieval_candidates"]
+    assert "limit 100)" in sql and "k <= 500)" in sql
