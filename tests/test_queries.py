@@ -64,22 +64,34 @@ def test_intermediate_tables_can_be_deleted(spark, monkeypatch):
 def test_broadcasts_go_by_size_in_memory(spark, make, tmp_path):
     session.configure(spark)
     assert session._bytes("10MB") == 10 << 20 and session._bytes("256k") == 256 << 10 and session._bytes("-1") == -1 and session._bytes("99b") == 99
-    # 300,000 rows in some 5 MB of memory and far fewer of files: no table for the driver to hand out.
+    # 300,000 rows in some 20 MB of memory and far fewer of files: no table for the driver to hand out.
     path = str(tmp_path / "long")
     spark.range(300_000).selectExpr("id div 1000 as k", "repeat('x', 40) as t").coalesce(1).write.parquet(path)
     files = sum(f.stat().st_size for f in (tmp_path / "long").glob("*.parquet"))
     assert files < session.BROADCAST_BYTES and spark.conf.get("spark.sql.sources.fileCompressionFactor") == "10"
 
 
-def test_a_cluster_may_ask_for_smaller_broadcasts(spark):
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+@pytest.mark.parametrize("name, cases", [
+    ("spark.sql.autoBroadcastJoinThreshold", [("256k", "256k"), ("-1", "-1"), ("1g", str(session.BROADCAST_BYTES))]),
+    ("spark.sql.adaptive.advisoryPartitionSizeInBytes", [("8m", "8m"), ("64MB", str(session.PARTITION_BYTES))])])
+def test_a_cluster_may_ask_for_less(spark, name, cases):
+    before = spark.conf.get(name)
     try:
-        for asked, got in (("256k", "256k"), ("-1", "-1"), ("1g", str(session.BROADCAST_BYTES))):
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", asked)
+        for asked, got in cases:
+            spark.conf.set(name, asked)
             session.configure(spark)
-            assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == got
+            assert spark.conf.get(name) == got
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set(name, before)
+
+
+def test_a_common_list_is_given_in_many_tasks(spark, make):
+    from offerlens.operators import scoring
+
+    users = spark.range(400).select(scoring.F.col("id").alias("user_id")).coalesce(1)
+    ranked = make([(7, 2.0, 1), (8, 1.0, 2)], "item_id int, score double, rank int")
+    out = scoring.give_to_all(users, ranked).withColumn("part", scoring.F.spark_partition_id())
+    assert out.count() == 800 and out.select("part").distinct().count() > 1
 
 
 def test_retrieval_candidates_keeps_the_limits_of_a_full_run(monkeypatch):
