@@ -130,6 +130,23 @@ def test_five_hundred_like_events_of_one_user_take_no_more_jobs(make, spark):
     assert [r for r in sorted(map(tuple, few)) if r[0] > 1] == [r for r in sorted(map(tuple, many)) if r[0] > 1]
 
 
+def test_events_left_short_bring_one_list_and_no_second_round(make, spark):
+    day = datetime(2024, 1, 5)
+    items = make([(i, "A" if i < 12 else "B", 3.0 + i / 1000, 10.0, 5, None, None) for i in range(40)],
+                 "item_id int, genre_name string, log_discount_price double, price_rate double, valid_period int, disp_from timestamp, "
+                 "disp_end timestamp")
+    bought = make([(e, e % 3, e % 12, day) for e in range(18)], "positive_event_id int, user_id int, item_id int, ts timestamp")
+    index = N.sampling_index(items)
+    spark.sparkContext.setJobGroup("short", "")
+    out = N.exclusive_hard_negatives(bought, index, bought.select("user_id", "item_id").distinct(), n=3).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("short"))
+    spark.sparkContext.setJobGroup("after", "")
+    # Four items of the genre are the user's own; the eight left serve three events, and the price band serves the rest.
+    assert len(out) == 54 and len({(r.user_id, r.item_id) for r in out}) == 54
+    assert sum(r.negative_source == N.SOURCE_GENRE for r in out) == 24 and not any(r.negative_source == N.SOURCE_RANDOM for r in out)
+    assert jobs <= 35
+
+
 def test_weekly_pairs(make):
     grid = S.WeekGrid(START, START + 2 * S.WEEK_US, START + 3 * S.WEEK_US)
     items = make([(i, D0 + timedelta(days=i % 9), D0 + timedelta(days=i % 9 + 6)) for i in range(120)],
