@@ -169,8 +169,8 @@ def event_run(w: World, kinds: tuple[str, ...] = M.KINDS, rounds: int = 500, rep
     everything = materialized(N.refit_pairs(events, negatives, later, N.sampling_index(items), bought))
     final = M.refit(rankers[best], materialized(FE.event_time_features(everything, users, meta, events, visits)))
     history = H.event_history(events, visits, w.items)
-    product = CA.pool_pairs(w.template.select("user_id"), targets.select("item_id")).select("user_id", "item_id")
-    rows = FE.cutoff_features(product, FE.user_features(users, history.user), FE.item_features(targets), history)
+    people, offers = FE.user_features(users, history.user), FE.item_features(targets)
+    rows = FE.cutoff_features(M.target_pairs(final, w.template, targets, people, offers, history), people, offers, history)
     ranked = materialized(V.rank_predictions(M.score_ranker(final, rows)))
     sinks.require_few_missing(w.template, ranked)
     fallback = H.genre_popularity_rank(w.purchases, w.items, w.target_items)
