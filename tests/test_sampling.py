@@ -175,6 +175,21 @@ def test_few_candidates_are_drawn_once_each(make):
     assert rows_of(out, "item_id", "label") == [(0, 0), (1, 0), (2, 1), (3, 0), (4, 0)]
 
 
+def test_weekly_draws_are_dealt_by_week_and_user_once(make, capsys):
+    """No shuffle of its own takes the purchases out of the draws; a null item stays among them."""
+    grid = S.WeekGrid(START, START + S.WEEK_US, START + 2 * S.WEEK_US)
+    items = make([(i if i else None, D0, D0 + timedelta(days=3)) for i in range(6)], "item_id int, disp_from timestamp, disp_end timestamp")
+    bought = make([(1, i, D0) for i in (1, 2, 2, None)] + [(None, 3, D0), (2, None, D0)], "user_id int, item_id int, ts timestamp")
+    out = N.weekly_pairs(make([(1,), (1,), (2,), (None,)], "user_id int"), bought, items, grid)
+    held = {}
+    for r in out.collect():
+        held.setdefault((r["user_id"], r["label"]), []).append(r["item_id"])
+    assert {k: sorted(v, key=str) for k, v in held.items()} == {
+        (1, 1): [1, 2], (1, 0): [3, 4, 5, None], (2, 0): [1, 2, 3, 4, 5, None]}
+    out.explain()
+    assert "LeftAnti" not in capsys.readouterr().out
+
+
 def test_negative_mix(make):
     df = make([("L1_same_genre_similar",)] * 3 + [("L3_random_fallback",)], "negative_source string")
     assert rows_of(N.negative_mix(df), "negative_source", "rows", "share", "hard_share") == [
