@@ -42,6 +42,26 @@ def test_shortlist_holds_the_best_of_every_owner(make, w):
     assert sum(map(len, got.values())) < len(owners) * len(items) / 2
 
 
+def test_shortlist_with_known_bonuses_leaves_out_what_the_kth_item_beats(make):
+    """Each owner's bonuses decide: beside the k best only what rounding could lift is left; an empty text is no missing one."""
+    rng = random.Random(11)
+    genres, regions, k = ["g1", "g2", "g3", "", None], ["r1", "r2", "", None], 5
+    items = [(i, rng.choice(genres), rng.choice(regions), rng.random() * 2, rng.uniform(4, 8)) for i in range(400)]
+    items += [(i, rng.choice(["", None]), rng.choice(["", None]), 3.0, 5.0) for i in range(400, 430)]
+    owners = [(o, rng.choice(regions), rng.choice([0.0, rng.uniform(4, 8)])) for o in range(60)]
+    likes = [(o, g, rng.random() * 2) for o in range(50) for g in rng.sample(genres[:4], o % 4)]
+    pairs = CA.shortlist(make(owners, "o int, pref_name string, log_price double"), make(likes, "o int, genre_name string, bonus double"),
+                         make(items, "item_id int, genre_name string, pref_name string, base double, log_price double"), ["o"], k, 0.5, 1.1)
+    got = rows_of(pairs, "o", "item_id")
+    assert len(set(got)) == len(got)
+    bonus = {(o, g): b for o, g, b in likes}
+    for o, home, price in owners:
+        score = {i: base - 0.5 * abs(lp - price) + bonus.get((o, g), 0) + 1.1 * (home is not None and home == r) for i, g, r, base, lp in items}
+        best = sorted(items, key=lambda x: (-score[x[0]], x[0]))
+        bar, mine = score[best[k - 1][0]], {i for p, i in got if p == o}
+        assert {x[0] for x in best[:k]} <= mine and all(score[i] >= bar - 2 * CA.SLACK for i in mine)
+
+
 def test_shortlist_of_a_pool_smaller_than_k(make):
     out = CA.shortlist(make([(1, "r", 0.0)], "o int, pref_name string, log_price double"), make([], "o int, genre_name string"),
                        make([(7, "g", "x", 0.5, 1.0)], "item_id int, genre_name string, pref_name string, base double, log_price double"),
